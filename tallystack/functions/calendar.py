@@ -13,7 +13,7 @@ def to_date_safe(c, fmt: str = "yyyy-M-d", slash_to_dash: bool = True) -> Column
     s = col_of(c)
     if slash_to_dash:
         s = F.replace(s, F.lit("/"), F.lit("-"))
-    return F.try_to_date(s, F.lit(fmt))
+    return F.try_to_date(s, fmt)
 
 
 def weekend_flag(c) -> Column:
