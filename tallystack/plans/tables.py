@@ -86,16 +86,21 @@ def hours_text_sql(d: int) -> str:
 
 
 # ------------------------------------------------------------ score table
-# Events as a scored table: id event_id, score = value, label = purchase.
+# Events as a scored table: id event_id, score = value / 500 (in [0, 1)),
+# label = purchase; two more deterministic scores for model comparisons.
 
 def scores(spark, sf) -> DataFrame:
     e = T(spark, sf, "events")
-    return e.select("event_id", F.col("value").alias("score"),
-                    F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"))
+    return e.select("event_id", (F.col("value") / 500.0).alias("score"),
+                    F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"),
+                    (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("score_k"),
+                    ((F.col("event_id") % 97) / 97.0).alias("score_id"))
 
 
 SCORES_SQL = """scores AS (
-  SELECT event_id, value AS score, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label
+  SELECT event_id, value / 500.0 AS score, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label,
+         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) / 100.0 AS score_k,
+         (event_id % 97) / 97.0 AS score_id
   FROM events)"""
 
 
