@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tallystack.functions.hashing import hash_uniform
 from tallystack.operators.ordered import ordered_prefix
@@ -61,7 +62,9 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 1, copy_col: str
     idx = {r[label]: i for i, r in enumerate(cls)}
     info = df.sparkSession.createDataFrame(
         [(r[label], i, r["_m"], M // r["_m"], M % r["_m"]) for i, r in enumerate(cls)],
-        df.select(label).schema.add("_ci", "int").add("_m", "long").add("_q", "long").add("_rem", "long"))
+        StructType(df.select(label).schema.fields + [
+            StructField("_ci", IntegerType()), StructField("_m", LongType()),
+            StructField("_q", LongType()), StructField("_rem", LongType())]))
     j = df.join(F.broadcast(info), [label])
     # order inside each class by hash: one numeric score = class index + u
     sc = F.col("_ci").cast("double") + hash_uniform(seed, key)
