@@ -1 +1,260 @@
-"""placeholder"""
+"""Model, tuning and explanation queries.
+
+Two tables: the check-in model table (business x day facts with weather,
+rolling reach and calendar features; label = a returned item that day) for
+the pyspark.ml families, and embeddings (64-dim vectors, label = class >= 5,
+train = vec_id % 4 <> 0) for the SQL-checkable kNN and Gaussian NB."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tallystack.operators import explain, features, prep
+from tallystack.operators.models import bayes, knn, ml, sentiment, tuning
+from tallystack.operators.models.common import feature_stages
+from tallystack.operators.relate import join_on
+from tallystack.plans.q_relate import DAY_TABLE_MAX_ROWS, daily
+from tallystack.plans.registry import query
+from tallystack.plans.tables import T, facts, r6
+from tallystack.session import shared_dir
+
+SPEC = prep.FeatureSpec(label="ch_in", label_text="ch_in_string",
+                        numeric=["reach", "n", "n_orders", "temp_avg", "rolling_reach_sum", "s_nationkey"],
+                        categorical=["WE", "Quarter"])
+
+
+def model_table(spark, sf):
+    f = facts(spark, sf).withColumn("hits", F.coalesce("hits", F.lit(0)))
+    f = join_on(f, daily(spark, sf), ["day"], "inner", broadcast_max_rows=DAY_TABLE_MAX_ROWS)
+    s = T(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    f = f.join(s, "l_suppkey")
+    f = features.rolling_rows(f, "l_suppkey", "day", "reach", 14, True, "rolling_reach_sum")
+    f = features.add_calendar(f, "day")
+    return f.select((F.col("l_suppkey") * 100000 + F.unix_date("day")).alias("id"),
+                    F.when(F.col("hits") >= 1, 1).otherwise(0).alias("ch_in"),
+                    F.when(F.col("hits") >= 1, "ch_in").otherwise("Noch_in").alias("ch_in_string"),
+                    "reach", "n", "n_orders", "temp_avg", "rolling_reach_sum", "s_nationkey",
+                    F.col("WE").cast("string").alias("WE"), "Quarter")
+
+
+def split(spark, sf):
+    """75 / 25 split (seed 66). The table is materialised once with a
+    reliable checkpoint (shared folder), since every model fit reads it many
+    times."""
+    from tallystack.session import checkpoint
+    t = checkpoint(prep.shuffle_split(model_table(spark, sf), "id", 0.75, 66))
+    return t.filter(F.col("split") == "train"), t.filter(F.col("split") == "eval")
+
+
+def _scored(res):
+    scored = res[0]
+    return scored.select("id", "label", r6("score").alias("score"))
+
+
+@query("model_logit")
+def model_logit(spark, sf):
+    tr, ev = split(spark, sf)
+    return _scored(ml.model_logit(SPEC, tr, ev, "id"))
+
+
+@query("model_mlp")
+def model_mlp(spark, sf):
+    tr, ev = split(spark, sf)
+    return _scored(ml.model_mlp(SPEC, tr, ev, "id"))
+
+
+@query("model_tree")
+def model_tree(spark, sf):
+    tr, ev = split(spark, sf)
+    return _scored(ml.model_tree(SPEC, tr, ev, "id", max_depth=5))
+
+
+@query("model_bagging")
+def model_bagging(spark, sf):
+    tr, ev = split(spark, sf)
+    return _scored(ml.model_bagging(SPEC, tr, ev, "id"))
+
+
+@query("model_boosting")
+def model_boosting(spark, sf):
+    tr, ev = split(spark, sf)
+    return _scored(ml.model_boosting(SPEC, tr, ev, "id"))
+
+
+@query("model_rf")
+def model_rf(spark, sf):
+    tr, ev = split(spark, sf)
+    return _scored(ml.model_rf(SPEC, tr, ev, "id", mtry=3))
+
+
+@query("model_svm_rbf")
+def model_svm_rbf(spark, sf):
+    tr, ev = split(spark, sf)
+    return _scored(ml.model_svm_rbf(SPEC, tr, ev, "id", sigma=1.0, C=0.01347207))
+
+
+@query("model_glm_binomial")
+def model_glm_binomial(spark, sf):
+    tab, _ = ml.glm_table(SPEC, model_table(spark, sf))
+    return tab
+
+
+@query("vif")
+def vif(spark, sf):
+    mt = model_table(spark, sf)
+    _, model = ml.glm_table(SPEC, mt)
+    scored = model.transform(mt)
+    names = ml.feature_names(scored.limit(1), "features")
+    slots = {t: [i for i, nm in enumerate(names) if nm == t or nm.startswith(t + "_")]
+             for t in SPEC.numeric + SPEC.categorical}
+    # GLM gives the mean; the covariance needs P(y=1) as a 2-slot vector
+    from pyspark.ml.functions import array_to_vector
+    scored = scored.withColumn("_p", array_to_vector(F.array(1 - F.col("prediction"), F.col("prediction"))))
+    return explain.vif(scored, "features", "_p", {t: s for t, s in slots.items() if s})
+
+
+# ----------------------------------------------------------- embeddings
+
+EMB_SQL = """emb AS (SELECT vec_id, embedding, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y,
+  vec_id % 4 <> 0 AS is_train FROM embeddings)"""
+
+
+def emb(spark, sf):
+    e = T(spark, sf, "embeddings")
+    e = e.select("vec_id", "embedding", F.when(F.col("label") >= 5, 1).otherwise(0).alias("y"))
+    return e.filter(F.col("vec_id") % 4 != 0), e.filter(F.col("vec_id") % 4 == 0)
+
+
+@query("model_knn", f"""WITH {EMB_SQL},
+d AS (SELECT q.vec_id, q.y AS label, t.y AS ty,
+        list_sum(list_transform(list_zip(q.embedding, t.embedding),
+                 lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS dist,
+        t.vec_id AS tid
+      FROM emb q JOIN emb t ON NOT q.is_train AND t.is_train),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, tid) AS rk FROM d)
+SELECT vec_id, label, round(avg(ty), 6) AS score FROM r WHERE rk <= 34 GROUP BY vec_id, label""")
+def model_knn(spark, sf):
+    """k = 34 as tuned in the reference; exact neighbours (pivot pruning)."""
+    tr, ev = emb(spark, sf)
+    s = knn.knn_score(tr, ev, "embedding", "y", "vec_id", k=34)
+    return s.select("vec_id", "label", r6("score").alias("score"))
+
+
+@query("model_nb_gaussian", f"""WITH {EMB_SQL},
+tl AS (SELECT y, x, j FROM (SELECT y, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM emb WHERE is_train)),
+st AS (SELECT y, j, avg(CAST(x AS DOUBLE)) AS m, var_samp(CAST(x AS DOUBLE)) AS v FROM tl GROUP BY y, j),
+pr AS (SELECT y, ln(count(*) / (SELECT count(*) FROM emb WHERE is_train)) AS lp FROM emb WHERE is_train GROUP BY y),
+el AS (SELECT vec_id, x, j FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM emb WHERE NOT is_train)),
+ll AS (SELECT el.vec_id, st.y, sum(-0.5 * ln(2 * pi() * st.v) - (CAST(el.x AS DOUBLE) - st.m) ^ 2 / (2 * st.v)) AS l
+       FROM el JOIN st ON el.j = st.j GROUP BY el.vec_id, st.y),
+lp AS (SELECT ll.vec_id, ll.y, ll.l + pr.lp AS l FROM ll JOIN pr ON ll.y = pr.y),
+w AS (SELECT vec_id, max(CASE WHEN y = 1 THEN l END) AS l1, max(CASE WHEN y = 0 THEN l END) AS l0 FROM lp GROUP BY vec_id)
+SELECT e.vec_id, e.y AS label, round(1 / (1 + exp(w.l0 - w.l1)), 6) AS score
+FROM emb e JOIN w ON e.vec_id = w.vec_id WHERE NOT e.is_train""")
+def model_nb_gaussian(spark, sf):
+    tr, ev = emb(spark, sf)
+    s = bayes.nb_gaussian_score(tr, ev, "embedding", "y", "vec_id", positive=1)
+    return s.select("vec_id", "label", r6("score").alias("score"))
+
+
+@query("model_nb_kernel")
+def model_nb_kernel(spark, sf):
+    """adjust = 10 as tuned in the reference (laplace only acts on
+    categorical inputs, of which there are none here)."""
+    tr, ev = emb(spark, sf)
+    s = bayes.nb_kernel_score(tr, ev, "embedding", "y", "vec_id", positive=1, adjust=10.0)
+    return s.select("vec_id", "label", r6("score").alias("score"))
+
+
+@query("oversample_smote")
+def oversample_smote(spark, sf):
+    tr, _ = emb(spark, sf)
+    minority = tr.groupBy("y").count().orderBy("count", "y").first()["y"]
+    return knn.smote(tr, "y", "embedding", "vec_id", minority, k=5, per_row=2, seed=1)
+
+
+# ----------------------------------------------------------- tuning
+
+@query("cross_validate")
+def cross_validate(spark, sf):
+    """Tree tuned by 10-fold CV on a random grid, chosen by the F1 of the
+    first class level ('Noch_in' -> label 0)."""
+    tr, _ = split(spark, sf)
+    grid = tuning.random_grid({"maxDepth": (2, 8, 3, "int"), "minInfoGain": (0.0, 0.001, 1)}, seed=1)
+    _, table = tuning.cross_validate(tr, SPEC, DecisionTreeClassifier(seed=1), grid, folds=10, seed=1,
+                                     metric_label=0.0)
+    return table
+
+
+@query("tuning_table")
+def tuning_table(spark, sf):
+    """Logistic regression over an automatic three-point grid, 10 folds."""
+    tr, _ = split(spark, sf)
+    grid = tuning.auto_grid("regParam", [0.0, 0.01, 0.1])
+    _, table = tuning.cross_validate(tr, SPEC, LogisticRegression(maxIter=50), grid, folds=10, seed=1,
+                                     metric_label=0.0)
+    return table
+
+
+# ----------------------------------------------------------- explanation
+
+def boosted(spark, sf):
+    tr, ev = split(spark, sf)
+    scored, model, secs = ml.model_boosting(SPEC, tr, ev, "id")
+    return tr, ev, scored, model
+
+
+@query("importance_model")
+def importance_model(spark, sf):
+    tr, _, _, model = boosted(spark, sf)
+    names = ml.feature_names(model.transform(tr.limit(1)), "features")
+    return explain.importance_model(model.stages[-1], names, 10)
+
+
+@query("tree_dump")
+def tree_dump(spark, sf):
+    _, _, _, model = boosted(spark, sf)
+    nodes = explain.tree_nodes(model.stages[-1], shared_dir(spark, "gbt"))
+    return nodes.filter(F.col("tree") == 0).select("tree", "node", "feature", "split_values", "left",
+                                                   "right", "value", "cover", "gain")
+
+
+@query("shap_tree")
+def shap_tree(spark, sf):
+    _, ev, _, model = boosted(spark, sf)
+    g = model.stages[-1]
+    nodes = explain.tree_nodes(g, shared_dir(spark, "gbt"))
+    feats = model.transform(ev)
+    names = ml.feature_names(feats.limit(1), "features")
+    return explain.tree_shap(feats, "features", "id", nodes, g.treeWeights, names)
+
+
+@query("model_sink")
+def model_sink(spark, sf):
+    """Boosted model saved to the shared folder, loaded back, used to score."""
+    from tallystack.sources.io import load_model, save_model
+    tr, ev, _, model = boosted(spark, sf)
+    path = shared_dir(spark, "model")
+    save_model(model, path)
+    back = load_model(path)
+    s = back.transform(ev).select("id", vector_to_array("probability")[1].alias("score"))
+    return s.select("id", r6("score").alias("score"))
+
+
+@query("sparse_matrix")
+def sparse_matrix(spark, sf):
+    mt = model_table(spark, sf)
+    pm = prep.assemble_vector(mt, SPEC)
+    return pm.transform(mt).select("id", "ch_in", "features")
+
+
+@query("text_sentiment")
+def text_sentiment(spark, sf):
+    """Fit on labelled documents (quality 1 = positive), score every document."""
+    d = T(spark, sf, "documents")
+    lab = d.join(T(spark, sf, "labels"), "doc_id")
+    m = sentiment.fit_sentiment(lab, "text", "quality")
+    return sentiment.score_sentiment(d.select("doc_id", "text", "source"), m).select(
+        "doc_id", "source", "label", r6("score").alias("score"))
