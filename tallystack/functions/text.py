@@ -43,16 +43,28 @@ def _clock_minutes(piece: Column) -> Column:
     return F.when(ok, h * 60 + m)
 
 
+def open_minutes(c):
+    """(start, end) minutes after midnight from 'H:M-H:M' text."""
+    parts = F.split(col_of(c), "-")
+    return (_clock_minutes(F.try_element_at(parts, F.lit(1))),
+            _clock_minutes(F.try_element_at(parts, F.lit(2))))
+
+
+def hours_between(start, end) -> Column:
+    """Hours from start to end minutes: equal -> 24, end before start ->
+    crosses midnight."""
+    start, end = col_of(start), col_of(end)
+    diff = (F.when(start == end, F.lit(1440))
+             .when(end < start, end + 1440 - start)
+             .otherwise(end - start))
+    return (diff / F.lit(60.0)).cast("double")
+
+
 def open_hours(c) -> Column:
     """Opening-hours text 'H:M-H:M' -> hours open (double).
 
     Equal start and end means open 24 hours; an end before the start crosses
     midnight; unparsable text (e.g. 'none', missing minutes) gives null.
     """
-    parts = F.split(col_of(c), "-")
-    start = _clock_minutes(F.try_element_at(parts, F.lit(1)))
-    end = _clock_minutes(F.try_element_at(parts, F.lit(2)))
-    diff = (F.when(start == end, F.lit(1440))
-             .when(end < start, end + 1440 - start)
-             .otherwise(end - start))
-    return (diff / F.lit(60.0)).cast("double")
+    start, end = open_minutes(c)
+    return hours_between(start, end)

@@ -27,8 +27,16 @@ def strip_all(df: DataFrame, cols, token: str = '"') -> DataFrame:
 
 
 def add_open_hours(df: DataFrame, mapping: dict) -> DataFrame:
-    """``{new_col: text_col}``: hours open per day from 'H:M-H:M' text."""
-    return df.withColumns({new: T.open_hours(src) for new, src in mapping.items()})
+    """``{new_col: text_col}``: hours open per day from 'H:M-H:M' text.
+    The text is parsed once per column into start/end minutes (a separate
+    projection, so the parse is not repeated in every branch)."""
+    mins = {}
+    for new, src in mapping.items():
+        s, e = T.open_minutes(src)
+        mins[f"_s_{new}"], mins[f"_e_{new}"] = s, e
+    out = df.withColumns(mins)
+    out = out.withColumns({new: T.hours_between(f"_s_{new}", f"_e_{new}") for new in mapping})
+    return out.drop(*mins)
 
 
 def null_text_to_null(df: DataFrame, marker: str = "NULL", cols=None) -> DataFrame:

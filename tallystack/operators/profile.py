@@ -99,16 +99,11 @@ def summary_stats(df: DataFrame, cols, digits: int = 3, exact: bool = True) -> D
         aggs += [F.lit(exact_median(df, c).first()["median"]).cast("double").alias(f"med{i}")
                  for i, c in enumerate(cols)]
     one = df.agg(*aggs)
-    parts = []
-    for i, c in enumerate(cols):
-        parts.append(one.select(F.lit(c).alias("feature"),
-                                *[F.bround(F.col(f"{s}{i}"), digits).alias(o) for s, o in
-                                  [("mean", "mean"), ("med", "median"), ("sd", "sd"),
-                                   ("min", "min"), ("max", "max")]]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = [F.struct(F.lit(c).alias("feature"),
+                     *[F.bround(F.col(f"{s}{i}"), digits).alias(o) for s, o in
+                       [("mean", "mean"), ("med", "median"), ("sd", "sd"), ("min", "min"), ("max", "max")]])
+            for i, c in enumerate(cols)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def corr_long(df: DataFrame, cols, digits: int = 2, strict: bool = True) -> DataFrame:
@@ -122,12 +117,9 @@ def corr_long(df: DataFrame, cols, digits: int = 2, strict: bool = True) -> Data
                 r = F.when((F.count(a) == F.count(F.lit(1))) & (F.count(b) == F.count(F.lit(1))), r)
             aggs.append(F.bround(r, digits).alias(f"c_{i}_{j}"))
     one = df.agg(*aggs)
-    parts = [one.select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c_{i}_{j}").alias("r"))
-             for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c_{i}_{j}").alias("r"))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def strong_corr(corr: DataFrame, cut: float = 0.5) -> DataFrame:
