@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference reads static extracts only; it has no watermark, streaming
+window, state or late-data handling, so no streaming operator is built.
+The batch operators are plain DataFrame transformations and can be applied
+inside ``foreachBatch`` of a Structured Streaming query where needed.
+"""
