@@ -170,6 +170,34 @@ def leaderboard(df: DataFrame, scores: dict, label: str, id_col: str, threshold=
                 .withColumn("gini_rel", F.col("gini") / F.max("gini").over(w)))
 
 
+def timed(build):
+    """(DataFrame, seconds): run ``build()`` and execute its result once into
+    the no-op sink, timing both (fit + score, as the reference times)."""
+    import time
+    t0 = time.perf_counter()
+    df = build()
+    df.write.format("noop").mode("overwrite").save()
+    return df, time.perf_counter() - t0
+
+
+def leaderboard_scored(scored: dict, threshold: float, seconds: dict | None = None,
+                       id_col: str = "id", label: str = "label", score: str = "score") -> DataFrame:
+    """Leaderboard from one scored table per model ({name: (id, label,
+    score)}): TDL, Gini, percent correct at ``threshold``, seconds, and TDL
+    and Gini relative to their best model."""
+    rows = None
+    for name, df in scored.items():
+        m = lift_metrics(df, score, label, id_col).select(F.lit(name).alias("model"), "tdl", "gini")
+        pc = df.agg((F.avg((F.when(F.col(score) > F.lit(threshold), 1).otherwise(0) == F.col(label))
+                           .cast("double")) * 100).alias("p")).first()["p"]
+        m = m.withColumn("pct_correct", F.lit(pc).cast("double")) \
+             .withColumn("seconds", F.lit(float((seconds or {}).get(name, 0.0))))
+        rows = m if rows is None else rows.unionByName(m)
+    w = Window.partitionBy()  # one row per model
+    return (rows.withColumn("tdl_rel", F.col("tdl") / F.max("tdl").over(w))
+                .withColumn("gini_rel", F.col("gini") / F.max("gini").over(w)))
+
+
 def importance_auc(df: DataFrame, features, label: str, positive=1) -> DataFrame:
     """Per feature: AUC of the feature alone as a score, folded so that a
     reversed feature counts as informative: max(auc, 1 - auc)."""

@@ -258,3 +258,39 @@ def text_sentiment(spark, sf):
     m = sentiment.fit_sentiment(lab, "text", "quality")
     return sentiment.score_sentiment(d.select("doc_id", "text", "source"), m).select(
         "doc_id", "source", "label", r6("score").alias("score"))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    """The nine families fitted on the training table and scored on the
+    evaluation table, each timed (fit + score), then compared by top-decile
+    lift, Gini and percent correct at threshold = share of check-ins in the
+    training table."""
+    from pyspark.ml.feature import VectorAssembler  # noqa: F401
+    from tallystack.operators.evaluate import leaderboard_scored, timed
+    from tallystack.operators.models.common import feature_stages
+    from pyspark.ml import Pipeline
+    tr, ev = split(spark, sf)
+    thr = tr.agg(F.avg("ch_in")).first()[0]
+    scaled = Pipeline(stages=feature_stages(SPEC, scale=True)).fit(tr)
+    arr = lambda d: scaled.transform(d).select("id", "ch_in", vector_to_array("features").alias("x"))
+    fams = {
+        "logit": lambda: ml.model_logit(SPEC, tr, ev, "id")[0],
+        "nb_kernel": lambda: bayes.nb_kernel_score(arr(tr), arr(ev), "x", "ch_in", "id", adjust=10.0),
+        "knn": lambda: knn.knn_score(arr(tr), arr(ev), "x", "ch_in", "id", k=34).select("id", "label", "score"),
+        "svm_rbf": lambda: ml.model_svm_rbf(SPEC, tr, ev, "id")[0],
+        "mlp": lambda: ml.model_mlp(SPEC, tr, ev, "id")[0],
+        "tree": lambda: ml.model_tree(SPEC, tr, ev, "id")[0],
+        "bagging": lambda: ml.model_bagging(SPEC, tr, ev, "id")[0],
+        "boosting": lambda: ml.model_boosting(SPEC, tr, ev, "id")[0],
+        "rf": lambda: ml.model_rf(SPEC, tr, ev, "id", mtry=3)[0],
+    }
+    from tallystack.session import checkpoint
+    scored, secs = {}, {}
+    for name, build in fams.items():
+        # fit + score, the scored table written once (reliable checkpoint)
+        scored[name], secs[name] = timed(lambda b=build: checkpoint(b().select("id", "label", "score")))
+    lb = leaderboard_scored({k: v.select("id", "label", F.col("score").cast("double").alias("score"))
+                             for k, v in scored.items()}, thr, secs)
+    return lb.select("model", *[r6(c).alias(c) for c in ("tdl", "gini", "pct_correct", "tdl_rel", "gini_rel")],
+                     F.round("seconds", 2).alias("seconds"))
