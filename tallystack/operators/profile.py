@@ -108,16 +108,22 @@ def summary_stats(df: DataFrame, cols, digits: int = 3, exact: bool = True) -> D
 
 def corr_long(df: DataFrame, cols, digits: int = 2, strict: bool = True) -> DataFrame:
     """Pearson correlation of every ordered pair (var1, var2, r), rounded
-    half to even; ``strict``: a missing value in either column gives null."""
-    aggs = []
+    half to even; ``strict``: a missing value in either column gives null.
+    One aggregation: the upper triangle plus one non-null count per column;
+    the lower triangle mirrors it."""
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(c).alias(f"_nn{i}") for i, c in enumerate(cols)]
     for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-            if strict:
-                r = F.when((F.count(a) == F.count(F.lit(1))) & (F.count(b) == F.count(F.lit(1))), r)
-            aggs.append(F.bround(r, digits).alias(f"c_{i}_{j}"))
+        for j in range(i, len(cols)):
+            aggs.append(F.corr(F.col(a).cast("double"), F.col(cols[j]).cast("double")).alias(f"c_{i}_{j}"))
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c_{i}_{j}").alias("r"))
+
+    def cell(i, j):
+        i, j = min(i, j), max(i, j)
+        r = F.col(f"c_{i}_{j}")
+        if strict:
+            r = F.when((F.col(f"_nn{i}") == F.col("_n")) & (F.col(f"_nn{j}") == F.col("_n")), r)
+        return F.bround(r, digits)
+    rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), cell(i, j).alias("r"))
             for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
