@@ -86,6 +86,8 @@ def model_svm_rbf(spec, train, evaluate, id_col, sigma=1.0, C=0.01347207, n_feat
     Inputs are min-max scaled. The draw of W, b is D x p numbers."""
     import time
     t0 = time.perf_counter()
+    from tallystack.session import ship_package
+    ship_package(train.sparkSession)
     prep = Pipeline(stages=feature_stages(spec, scale=True)).fit(train)
     tr = prep.transform(train).withColumn("_x", vector_to_array("features"))
     ev = prep.transform(evaluate).withColumn("_x", vector_to_array("features"))
