@@ -20,6 +20,35 @@ def rolling_rows(df: DataFrame, key: str, order, col: str, before: int = 14,
     return df.withColumn(name or f"rolling_{col}", val)
 
 
+def rolling_rows_segmented(df: DataFrame, key: str, day: str, tiebreaks, col: str,
+                           before: int = 14, strict: bool = True, name: str | None = None,
+                           segment_rows: int = 100_000) -> DataFrame:
+    """``rolling_rows`` ordered by (day, *tiebreaks) within an integer key,
+    safe for a key that holds a large share of all rows: each row's position
+    inside its key comes from the two-phase global order of
+    (key, day, *tiebreaks) minus the key's first position (an aggregation);
+    rows are cut into segments of ``segment_rows`` positions, and the
+    ``before`` rows preceding a segment are copied into it as a halo, so
+    every window partition holds at most ``segment_rows + before`` rows.
+    ``key`` must be a non-negative integer below 2**31, ``day`` a date."""
+    from tallystack.operators.ordered import ordered_prefix
+    name = name or f"rolling_{col}"
+    ties = [tiebreaks] if isinstance(tiebreaks, str) else list(tiebreaks)
+    score = F.col(key).cast("double") * float(1 << 21) + (F.unix_date(F.col(day).cast("date")) + (1 << 20))
+    o = ordered_prefix(df.withColumn("_rs", score), "_rs", ties, descending=False, rank_col="_g",
+                       total_col=None).drop("_rs")
+    first = o.groupBy(key).agg(F.min("_g").alias("_g0"))
+    o = o.join(first, key).withColumn("_pos", F.col("_g") - F.col("_g0")).drop("_g", "_g0")
+    seg = F.floor(F.col("_pos") / segment_rows)
+    own = o.withColumn("_seg", seg).withColumn("_halo", F.lit(False))
+    halo = (o.filter(F.col("_pos") % segment_rows >= segment_rows - before)
+             .withColumn("_seg", seg + 1).withColumn("_halo", F.lit(True)))
+    both = own.unionByName(halo)
+    w = Window.partitionBy(key, "_seg").orderBy("_pos").rowsBetween(-before, 0)
+    val = strict_agg(F.sum, col, w) if strict else F.sum(col).over(w)
+    return both.withColumn(name, val).filter(~F.col("_halo")).drop("_seg", "_halo")
+
+
 def rolling_days(df: DataFrame, key: str, date: str, col: str, days: int = 14,
                  strict: bool = True, name: str | None = None) -> DataFrame:
     """Sum over the calendar window [date - days, date] per entity."""
@@ -31,22 +60,26 @@ def rolling_days(df: DataFrame, key: str, date: str, col: str, days: int = 14,
 
 
 def rolling_rejoin(df: DataFrame, key: str, date: str, order, col: str, before: int = 14,
-                   strict: bool = True, name: str | None = None) -> DataFrame:
+                   strict: bool = True, name: str | None = None, segment_rows: int | None = None) -> DataFrame:
     """The reference computes the row-wise rolling sum and joins it back on
     (entity, day); with k rows on one (entity, day) that join repeats each of
     them k times (k*k rows). Emitting those pairs is avoided: each input row
     is returned once with ``rejoin_copies`` (= k, how often the reference
-    repeats it) and the smallest, largest and last rolling value of its day,
-    which together describe the k joined values."""
+    repeats it) and the smallest and largest rolling value of its day, which
+    bound the k joined values. The per-day summary is an aggregation joined
+    back on (entity, day). With ``segment_rows`` the rolling sum itself uses
+    the hot-key-safe segmented form (``order`` = [day, *integer-free
+    tiebreaks] and an integer key)."""
     name = name or f"rolling_{col}"
-    r = rolling_rows(df, key, order, col, before, strict, name)
     order = [order] if isinstance(order, str) else list(order)
-    wd = Window.partitionBy(key, date)
-    w_last = wd.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (r.withColumn("rejoin_copies", F.count(F.lit(1)).over(wd))
-             .withColumn(f"{name}_min", F.min(name).over(wd))
-             .withColumn(f"{name}_max", F.max(name).over(wd))
-             .withColumn(f"{name}_last", F.last(name).over(w_last)))
+    if segment_rows:
+        r = rolling_rows_segmented(df, key, order[0], order[1:], col, before, strict, name, segment_rows)
+        r = r.drop("_pos")
+    else:
+        r = rolling_rows(df, key, order, col, before, strict, name)
+    per_day = r.groupBy(key, date).agg(F.count(F.lit(1)).alias("rejoin_copies"),
+                                       F.min(name).alias(f"{name}_min"), F.max(name).alias(f"{name}_max"))
+    return r.join(per_day, [key, date])
 
 
 def count_by(df: DataFrame, key: str, col: str, value, name: str = "n") -> DataFrame:

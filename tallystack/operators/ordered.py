@@ -47,7 +47,7 @@ def _splits(qs):
     return splits, points
 
 
-def ordered_prefix(df: DataFrame, score: str, tiebreak: str, descending: bool = True,
+def ordered_prefix(df: DataFrame, score: str, tiebreak, descending: bool = True,
                    sums: dict | None = None, n_buckets: int | None = None,
                    rank_col: str = "rank", total_col: str | None = "n_total",
                    keep_helpers: bool = False) -> DataFrame:
@@ -55,9 +55,11 @@ def ordered_prefix(df: DataFrame, score: str, tiebreak: str, descending: bool =
     ``name: expr`` in ``sums``, the running (inclusive) sum in that order.
     ``total_col`` / ``<name>_total`` carry the grand totals.
 
-    ``score`` and ``tiebreak`` must be numeric; ``tiebreak`` should make the
-    order total (an id)."""
+    ``score`` must be numeric; ``tiebreak`` is a column name or a list of
+    them (ascending, the first numeric) that makes the order total."""
     sums = sums or {}
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    tiebreak = ties[0]
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -96,7 +98,8 @@ def ordered_prefix(df: DataFrame, score: str, tiebreak: str, descending: bool =
     offsets = stats.select("_b", "_sb", *offs)
 
     order_s = F.col("_os").desc_nulls_last() if descending else F.col("_os").asc_nulls_last()
-    w_in = Window.partitionBy("_b", "_sb").orderBy(order_s, F.col("_ot").asc())
+    w_in = Window.partitionBy("_b", "_sb").orderBy(order_s, F.col("_ot").asc(),
+                                                    *[F.col(t).asc() for t in ties[1:]])
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = keyed.join(F.broadcast(offsets), ["_b", "_sb"])
     out = out.withColumn(rank_col, F.col("_off_n") + F.row_number().over(w_in))

@@ -162,6 +162,9 @@ def rolling_sum_days(spark, sf):
 RAW_SQL = """raw AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber, l_partkey,
   l_quantity, l_extendedprice FROM lineitem)"""
 RAW_ORDER = "day, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice"
+# rows per window partition for the raw-row rolling sum (hot suppliers are
+# cut into segments of this many rows)
+SEGMENT_ROWS = 2_000
 
 
 @query("rolling_rejoin", f"""WITH {RAW_SQL},
@@ -176,7 +179,8 @@ def rolling_rejoin(spark, sf):
     li = T(spark, sf, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day"), "l_orderkey",
                                          "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     order = [c.strip() for c in RAW_ORDER.split(",")]
-    r = features.rolling_rejoin(li, "l_suppkey", "day", order, "l_quantity", 14, True, "rolling_qty")
+    r = features.rolling_rejoin(li, "l_suppkey", "day", order, "l_quantity", 14, True, "rolling_qty",
+                                segment_rows=SEGMENT_ROWS)
     return r.select("l_suppkey", _day(), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "rolling_qty",
                     "rejoin_copies", "rolling_qty_min", "rolling_qty_max")
 

@@ -101,3 +101,17 @@ def test_label_text_and_num(spark):
 def test_bool_to_num(spark):
     df = clean.bool_to_num(one_col(spark, ["TRUE", "FALSE", None, "True"]), ["v"])
     assert collect(df, "v") == [1, 0, None, 0]
+
+
+def test_segmented_rolling_equals_plain_window(spark):
+    import random
+    random.seed(9)
+    rows = [(k, dt.date(2017, 1, 1) + dt.timedelta(days=random.randint(0, 30)), i,
+             None if random.random() < 0.03 else float(random.randint(0, 9)))
+            for i in range(3000) for k in [0 if i % 3 else random.randint(1, 5)]]   # key 0 is hot
+    df = spark.createDataFrame(rows, "k long, d date, i long, v double")
+    plain = features.rolling_rows(df, "k", ["d", "i"], "v", before=14, name="r")
+    seg = features.rolling_rows_segmented(df, "k", "d", ["i"], "v", before=14, name="r", segment_rows=50)
+    a = {r["i"]: r["r"] for r in plain.collect()}
+    b = {r["i"]: r["r"] for r in seg.collect()}
+    assert a == b and len(b) == 3000
