@@ -15,8 +15,8 @@ GRID_SQL = """b AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS
 g AS (SELECT u.user_id, CAST(d.day AS DATE) AS day
       FROM (SELECT DISTINCT user_id FROM events) u,
            (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS day FROM b) d),
-c AS (SELECT user_id, CAST(ts AS DATE) AS day, count_if(event_type = 'purchase') AS n_purchase,
-             count_if(event_type = 'click') AS n_click, max(value) AS max_value
+c AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count_if(event_type = 'purchase') AS BIGINT) AS n_purchase,
+             CAST(count_if(event_type = 'click') AS BIGINT) AS n_click, max(value) AS max_value
       FROM events GROUP BY 1, 2),
 grid AS (SELECT g.user_id, g.day, coalesce(c.n_purchase, 0) AS n_purchase,
                 coalesce(c.n_click, 0) AS n_click, c.max_value
@@ -43,7 +43,7 @@ def daily_checkin_flag(spark, sf):
 
 @query("cum_tip_count", f"""WITH {GRID_SQL}
 SELECT user_id, CAST(day AS VARCHAR) AS day,
-       sum(n_click) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_n_tips
+       CAST(sum(n_click) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_n_tips
 FROM grid""")
 def cum_tip_count(spark, sf):
     g = extract.cumulative(grid(spark, sf), "user_id", "day", "n_click", "sum", "cum_n_tips")

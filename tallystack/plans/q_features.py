@@ -231,7 +231,7 @@ def top_rows_by(spark, sf):
 
 @query("cumulative_hits", """SELECT event_id,
   row_number() OVER w AS rank,
-  sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hits
+  CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_hits
 FROM events WINDOW w AS (ORDER BY value DESC, event_id)""")
 def cumulative_hits(spark, sf):
     from tallystack.plans.tables import scores

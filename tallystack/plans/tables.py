@@ -37,7 +37,7 @@ def facts(spark, sf) -> DataFrame:
 FACTS_SQL = """facts AS (
   SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, count(*) AS n,
          round(sum(l_extendedprice * (1 - l_discount)), 4) AS reach,
-         CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE count_if(l_returnflag = 'R') END AS hits
+         CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE CAST(count_if(l_returnflag = 'R') AS BIGINT) END AS hits
   FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))"""
 
 
