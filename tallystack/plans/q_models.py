@@ -183,8 +183,9 @@ def cross_validate(spark, sf):
     first class level ('Noch_in' -> label 0)."""
     tr, _ = split(spark, sf)
     grid = tuning.random_grid({"maxDepth": (2, 8, 3, "int"), "minInfoGain": (0.0, 0.001, 1)}, seed=1)
+    tr = tuning.hash_folds(tr, "id", 10, seed=1)
     _, table = tuning.cross_validate(tr, SPEC, DecisionTreeClassifier(seed=1), grid, folds=10, seed=1,
-                                     metric_label=0.0)
+                                     metric_label=0.0, fold_col="fold")
     return table
 
 
@@ -193,8 +194,9 @@ def tuning_table(spark, sf):
     """Logistic regression over an automatic three-point grid, 10 folds."""
     tr, _ = split(spark, sf)
     grid = tuning.auto_grid("regParam", [0.0, 0.01, 0.1])
+    tr = tuning.hash_folds(tr, "id", 10, seed=1)
     _, table = tuning.cross_validate(tr, SPEC, LogisticRegression(maxIter=50), grid, folds=10, seed=1,
-                                     metric_label=0.0)
+                                     metric_label=0.0, fold_col="fold")
     return table
 
 
