@@ -155,8 +155,10 @@ def leaderboard(df: DataFrame, scores: dict, label: str, id_col: str, threshold=
     y = _y(label, positive)
     if threshold is None:
         threshold = df.agg(F.avg(y)).first()[0]
-    rows = None
-    for name, col in scores.items():
+    from tallystack.session import parallel_map
+
+    def one(item):
+        name, col = item
         m = lift_metrics(df, col, label, id_col, positive).select(
             F.lit(name).alias("model"), "tdl", "gini")
         pc = df.agg((F.avg((F.when(F.col(col) > F.lit(threshold), 1).otherwise(0) == y)
@@ -164,7 +166,11 @@ def leaderboard(df: DataFrame, scores: dict, label: str, id_col: str, threshold=
         m = m.withColumn("pct_correct", F.lit(pc).cast("double"))
         if seconds is not None:
             m = m.withColumn("seconds", F.lit(float(seconds.get(name, 0.0))))
-        rows = m if rows is None else rows.unionByName(m)
+        return m
+    parts = parallel_map(one, list(scores.items()))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
     w = Window.partitionBy()  # one row per model: a handful of rows
     return (rows.withColumn("tdl_rel", F.col("tdl") / F.max("tdl").over(w))
                 .withColumn("gini_rel", F.col("gini") / F.max("gini").over(w)))
@@ -201,12 +207,17 @@ def leaderboard_scored(scored: dict, threshold: float, seconds: dict | None = No
 def importance_auc(df: DataFrame, features, label: str, positive=1) -> DataFrame:
     """Per feature: AUC of the feature alone as a score, folded so that a
     reversed feature counts as informative: max(auc, 1 - auc)."""
-    parts = None
-    for f in features:
-        a = roc_auc(df.select(f, label), f, label, positive).select(
-            F.lit(f).alias("feature"), F.greatest(F.col("auc"), 1 - F.col("auc")).alias("importance"))
-        parts = a if parts is None else parts.unionByName(a)
-    return parts
+    from tallystack.session import parallel_map
+
+    def one(f):
+        a = roc_auc(df.select(f, label), f, label, positive)
+        return a.select(F.lit(f).alias("feature"),
+                        F.greatest(F.col("auc"), 1 - F.col("auc")).alias("importance"))
+    parts = parallel_map(one, features)        # each builds its own ordering pass
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def top_n(df: DataFrame, col: str, n: int, descending: bool = True) -> DataFrame:

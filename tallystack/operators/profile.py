@@ -95,9 +95,11 @@ def summary_stats(df: DataFrame, cols, digits: int = 3, exact: bool = True) -> D
         if not exact:
             aggs.append(F.percentile_approx(x, 0.5, 100000).cast("double").alias(f"med{i}"))
     if exact:
-        # one scalar per column, brought back as a literal (no cross join)
-        aggs += [F.lit(exact_median(df, c).first()["median"]).cast("double").alias(f"med{i}")
-                 for i, c in enumerate(cols)]
+        # one scalar per column, brought back as a literal (no cross join);
+        # the columns' ordering jobs run concurrently
+        from tallystack.session import parallel_map
+        meds = parallel_map(lambda c: exact_median(df, c).first()["median"], cols)
+        aggs += [F.lit(m).cast("double").alias(f"med{i}") for i, m in enumerate(meds)]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("feature"),
                      *[F.bround(F.col(f"{s}{i}"), digits).alias(o) for s, o in
