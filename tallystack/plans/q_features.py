@@ -104,6 +104,21 @@ def geo_density(spark, sf):
                     "n", r6("share").alias("share"))
 
 
+@query("geo_density_smoothed", f"""WITH {GEO_SQL},
+g AS (SELECT floor(x / 0.05) AS cx, floor(y / 0.05) AS cy, count(*) AS n FROM geo
+      WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT dx, dy, exp(-(dx * dx + dy * dy) / 2.0) AS w
+      FROM (SELECT unnest(range(-2, 3)) AS dx) a, (SELECT unnest(range(-2, 3)) AS dy) b),
+s AS (SELECT CAST(cx + dx AS BIGINT) AS cell_x, CAST(cy + dy AS BIGINT) AS cell_y, sum(n * w) AS weighted
+      FROM g, o GROUP BY 1, 2)
+SELECT cell_x, cell_y, round(weighted, 6) AS weighted,
+  round(weighted / ((SELECT sum(n) FROM g) * (SELECT sum(w) FROM o)), 6) AS density FROM s""")
+def geo_density_smoothed(spark, sf):
+    d = profile.grid_density_smoothed(geo(spark, sf), "x", "y", 0.05, radius=2, bandwidth=1.0)
+    return d.select(F.col("cell_x").cast("long").alias("cell_x"), F.col("cell_y").cast("long").alias("cell_y"),
+                    r6("weighted").alias("weighted"), r6("density").alias("density"))
+
+
 @query("geo_points", f"WITH {GEO_SQL} SELECT x, y, label FROM geo WHERE x IS NOT NULL AND y IS NOT NULL")
 def geo_points(spark, sf):
     return profile.geo_points(geo(spark, sf), "x", "y", "label")
