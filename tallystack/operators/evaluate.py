@@ -139,11 +139,16 @@ def lift_multi(df: DataFrame, scores: dict, label: str, id_col: str, positive=1)
     """Lift curves of several models in one long table (model, rank, cum_x,
     cum_y). ``scores`` = {model name: score column}; each model is ordered by
     its own score with the two-phase prefix sum."""
-    out = None
-    for name, col in scores.items():
-        c = lift_curve(df.select(id_col, label, col), col, label, id_col, positive) \
+    from tallystack.session import parallel_map
+
+    def one(item):
+        name, col = item
+        return lift_curve(df.select(id_col, label, col), col, label, id_col, positive) \
             .select(F.lit(name).alias("model"), id_col, "rank", "cum_x", "cum_y")
-        out = c if out is None else out.unionByName(c)
+    parts = parallel_map(one, list(scores.items()))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
