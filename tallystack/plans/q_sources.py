@@ -35,13 +35,14 @@ def drop_index_col(spark, sf):
     return clean.drop_index_col(read_table(spark, path, NATION_CSV_SCHEMA, "csv"), 0)
 
 
-@query("sink_csv", """SELECT c_custkey, c_name, c_nationkey,
+@query("sink_csv", """SELECT row_number() OVER (ORDER BY c_custkey) AS row_index, c_custkey, c_name, c_nationkey,
   CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer""")
 def sink_csv(spark, sf):
-    """customer (with missing balances) written as CSV (missing -> NA) and
-    read back: the round trip keeps values and missing cells."""
+    """customer (with missing balances) written as CSV with a leading row
+    index (missing -> NA) and read back: the round trip keeps values, missing
+    cells and the 1..n index."""
     path = shared_dir(spark, "sink_csv")
     c = T(spark, sf, "customer").withColumn(
         "c_acctbal", F.when(F.col("c_custkey") % 9 == 0, F.lit(None)).otherwise(F.col("c_acctbal")))
-    write_table(c, path, "csv")
-    return read_table(spark, path, CUSTOMER_CSV_SCHEMA, "csv")
+    write_table(c, path, "csv", index_by="c_custkey")
+    return read_table(spark, path, "row_index long, " + CUSTOMER_CSV_SCHEMA, "csv")

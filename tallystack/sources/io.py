@@ -31,8 +31,21 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return r.format(fmt).load(path)
 
 
+def with_row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
+    """Leading 1..n row index in ``order`` (a numeric column that makes the
+    order total), from the two-phase global rank (no one-partition window)."""
+    from tallystack.operators.ordered import ordered_prefix
+    r = ordered_prefix(df, order, order, descending=False, rank_col=name, total_col=None)
+    return r.select(name, *df.columns)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
-                partition_by=None, null_value: str = "NA") -> None:
+                partition_by=None, null_value: str = "NA", index_by: str | None = None,
+                index_name: str = "row_index") -> None:
+    """Write ``df``. With ``index_by`` a leading 1..n index column ordered by
+    that column is written first (as a CSV export with row numbers has)."""
+    if index_by:
+        df = with_row_index(df, index_by, index_name)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
