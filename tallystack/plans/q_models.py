@@ -45,7 +45,8 @@ _MEMO: dict = {}
 def _memo(kind, spark, sf, build):
     """One value per (application, data folder): the checkpointed split and
     the fitted boosted model are shared by the queries of one session."""
-    key = (kind, spark.sparkContext.applicationId, sf)
+    from tallystack.session import app_id
+    key = (kind, app_id(spark), sf)
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]

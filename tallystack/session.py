@@ -54,8 +54,7 @@ def ship_package(spark: SparkSession) -> None:
     per SparkContext and added with ``addPyFile``, as ``--py-files`` would.
     Nothing is done when the executors already have it installed the same
     way as the driver (then the zip is still harmless)."""
-    sc = spark.sparkContext
-    key = sc.applicationId
+    key = app_id(spark)
     if key in _SHIPPED:
         return
     import zipfile
@@ -67,14 +66,20 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+    try:
+        spark.sparkContext.addPyFile(out)
+    except Exception:            # Spark Connect
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
     Only when nothing is configured (local tests) is a private folder made."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:            # Spark Connect: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", None)
     d = sc.getCheckpointDir()
     if d:
         return d
@@ -85,6 +90,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the checkpoint folder, for intermediate
     tables that must survive executor loss (never a machine-local path on a
