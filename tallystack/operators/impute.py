@@ -57,15 +57,53 @@ def complete_k(df: DataFrame, k: int) -> DataFrame:
     return df.filter(F.col("imp") == k).drop("imp")
 
 
+def pmm_draw(scored: DataFrame, target: str, pred: str, missing: str, key: str, seed, donors: int = 5):
+    """Predictive mean matching inside each imputation ``imp``: a missing
+    cell takes the observed value of one of the ``donors`` observed rows
+    whose predictions are closest to its own (hash draw among them).
+
+    The nearest donors in one dimension are found without pairs: the
+    two-phase global order of (imp, prediction, key) gives each row the
+    number of observed rows before it; a missing row's candidates are the
+    ``donors`` observed ranks on either side, fetched with an equi-join on
+    (imp, observed rank)."""
+    from pyspark.sql import Window
+    from tallystack.operators.ordered import ordered_prefix
+    obs = ~F.col(missing)
+    o = ordered_prefix(scored.withColumn("_impd", F.col("imp").cast("double")), "_impd", [pred, key],
+                       descending=False, sums={"_cobs": obs.cast("long")}, rank_col="_r", total_col=None)
+    n_obs = scored.filter(obs).groupBy("imp").count().agg(F.max("count")).first()[0] or 0
+    # observed rows in earlier imputations (every imputation has the same observed rows)
+    o = o.withColumn("_orank", F.col("_cobs") - (F.col("imp") - 1) * F.lit(n_obs))
+    donors_tab = o.filter(obs).select("imp", F.col("_orank").alias("_drank"),
+                                      F.col(pred).alias("_dpred"), F.col(target).alias("_dval"),
+                                      F.col(key).alias("_dkey"))
+    lo = F.greatest(F.col("_orank") - (donors - 1), F.lit(1))
+    hi = F.least(F.col("_orank") + donors, F.lit(n_obs))
+    miss = (o.filter(F.col(missing)).select("imp", key, pred, "_orank")
+             .withColumn("_drank", F.explode(F.sequence(lo, F.greatest(hi, lo)))))
+    c = miss.join(donors_tab, ["imp", "_drank"]).withColumn("_dist", F.abs(F.col(pred) - F.col("_dpred")))
+    w = Window.partitionBy("imp", key).orderBy("_dist", "_dkey")
+    c = c.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= donors)
+    pick = (F.floor(hash_uniform(seed, F.col("imp"), F.lit(target), key) *
+                    F.least(F.lit(donors), F.count(F.lit(1)).over(Window.partitionBy("imp", key)))) + 1)
+    chosen = c.withColumn("_pick", pick).filter(F.col("_k") == F.col("_pick")) \
+              .select("imp", key, F.col("_dval").alias("_draw"))
+    return scored.join(chosen, ["imp", key], "left")
+
+
 def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: int = 5,
-                   seed: int = 500, categorical=(), checkpoint_every: int = 1) -> DataFrame:
+                   seed: int = 500, categorical=(), checkpoint_every: int = 1,
+                   numeric_method: str = "residual", donors: int = 5) -> DataFrame:
     """Chained equations. ``mask`` = {target: [predictors]}; columns with
     missing cells that are not a target with predictors get marginal draws
     first. Each sweep refits every target on its currently completed
     predictors using rows where the target was observed, then redraws the
     originally missing cells: categorical targets from the multinomial
     logistic probabilities, numeric targets as linear prediction plus a
-    drawn training residual quantile. Lineage is cut with reliable
+    drawn training residual quantile (``numeric_method='residual'``) or by
+    predictive mean matching (``'pmm'``: the observed value of one of the
+    ``donors`` rows with the closest predictions). Lineage is cut with reliable
     checkpoints every ``checkpoint_every`` sweeps."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -124,9 +162,14 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
                 resid = model.transform(observed).select((F.col(t) - F.col("prediction")).alias("r"))
                 qs = resid.approxQuantile("r", [i / 100 for i in range(1, 100)], 0.001)
                 scored = model.transform(work).withColumn("_u", u)
-                qarr = F.array(*[F.lit(q) for q in qs])
-                idx = F.least(F.floor(F.col("_u") * len(qs)).cast("int"), F.lit(len(qs) - 1))
-                scored = scored.withColumn("_draw", (F.col("prediction") + qarr[idx]).cast(dict(df.dtypes)[t]))
+                if numeric_method == "pmm":
+                    base_cols = work.columns
+                    scored = pmm_draw(scored.select(*base_cols, "prediction"), t, "prediction",
+                                      orig_missing[t], key, f"{seed}:{sweep}", donors)
+                else:
+                    qarr = F.array(*[F.lit(q) for q in qs])
+                    idx = F.least(F.floor(F.col("_u") * len(qs)).cast("int"), F.lit(len(qs) - 1))
+                    scored = scored.withColumn("_draw", (F.col("prediction") + qarr[idx]).cast(dict(df.dtypes)[t]))
             keep = [c for c in work.columns]
             work = scored.withColumn(t, F.when(F.col(orig_missing[t]), F.col("_draw")).otherwise(F.col(t))) \
                          .select(*keep)

@@ -114,3 +114,24 @@ def test_glm_and_vif(spark):
     sc = model.transform(df).withColumn("_p", array_to_vector(F.array(1 - F.col("prediction"), F.col("prediction"))))
     v = {r["term"]: r["gvif"] for r in explain.vif(sc, "features", "_p", {"x1": [0], "x2": [1], "g": [2]}).collect()}
     assert v["x1"] > 2 and v["x2"] > 2 and v["g"] < 1.5
+
+
+def test_impute_chained_pmm_draws_observed_values(spark):
+    rows = [(i, float(i % 10) * 1.5 if i % 5 else None, "x" if i % 2 else "y", float(i % 10))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, a double, c string, b double")
+    out = impute.impute_chained(df, {"a": ["c", "b"]}, "k", m=2, max_iter=1, seed=1,
+                                numeric_method="pmm", donors=5)
+    observed = {r[1] for r in rows if r[1] is not None}
+    orig = {r[0]: r[1] for r in rows}
+    got = out.collect()
+    assert len(got) == 600
+    for r in got:
+        assert r["a"] is not None and r["a"] in observed
+        if orig[r["k"]] is not None:
+            assert r["a"] == orig[r["k"]]
+    # b predicts a exactly (a = 1.5 b); missing rows have b in {0, 5}, values
+    # observed nowhere, so the closest donors sit one step of b away
+    for r in got:
+        if orig[r["k"]] is None:
+            assert abs(r["a"] - 1.5 * r["b"]) <= 1.5 + 1e-6
