@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallystack.operators import evaluate, extract, features, profile, relate
+from tallystack.operators import evaluate, features, profile, relate
 from tallystack.operators.clean import filter_eq as op_filter_eq
-from tallystack.plans.q_relate import LABELLED_SQL, labelled
 from tallystack.plans.registry import query
 from tallystack.plans.tables import FACTS_SQL, T, facts, r6
 

@@ -286,7 +286,6 @@ def model_comparison(spark, sf):
     evaluation table, each timed (fit + score), then compared by top-decile
     lift, Gini and percent correct at threshold = share of check-ins in the
     training table."""
-    from pyspark.ml.feature import VectorAssembler  # noqa: F401
     from tallystack.operators.evaluate import leaderboard_scored, timed
     from tallystack.operators.models.common import feature_stages
     from pyspark.ml import Pipeline
