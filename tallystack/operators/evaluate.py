@@ -211,18 +211,24 @@ def leaderboard_scored(scored: dict, threshold: float, seconds: dict | None = No
 
 def importance_auc(df: DataFrame, features, label: str, positive=1) -> DataFrame:
     """Per feature: AUC of the feature alone as a score, folded so that a
-    reversed feature counts as informative: max(auc, 1 - auc)."""
-    from tallystack.session import parallel_map
-
-    def one(f):
-        a = roc_auc(df.select(f, label), f, label, positive)
-        return a.select(F.lit(f).alias("feature"),
-                        F.greatest(F.col("auc"), 1 - F.col("auc")).alias("importance"))
-    parts = parallel_map(one, features)        # each builds its own ordering pass
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    reversed feature counts as informative: max(auc, 1 - auc). All features
+    in one pass: (feature, value) counts of positives and negatives, ordered
+    within each feature by ``grouped_prefix``."""
+    from tallystack.operators.ordered import grouped_prefix
+    y = _y(label, positive)
+    long = df.select(y.alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("g"), F.col(f).cast("double").alias("s")) for i, f in enumerate(features)]))
+        .alias("x")).select("x.g", "x.s", "_y")
+    from tallystack.session import checkpoint
+    # the aggregate is read by three jobs (group stats, quantiles, result): written once
+    per = checkpoint(long.groupBy("g", "s").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")))
+    o = grouped_prefix(per, "g", "s", sums={"cneg": F.col("neg")})
+    below = F.col("cneg") - F.col("neg")        # negatives with a strictly smaller value
+    a = o.groupBy("g").agg(F.sum(F.col("pos") * below + 0.5 * F.col("pos") * F.col("neg")).alias("w"),
+                           F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("w") / (F.col("P") * F.col("N")))
+    names = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(i), F.lit(f))])
+    return a.select(names[F.col("g")].alias("feature"), F.greatest(auc, 1 - auc).alias("importance"))
 
 
 def top_n(df: DataFrame, col: str, n: int, descending: bool = True) -> DataFrame:

@@ -111,3 +111,49 @@ def ordered_prefix(df: DataFrame, score: str, tiebreak, descending: bool = True,
     else:
         out = out.drop(*helpers)
     return out
+
+
+def grouped_prefix(df: DataFrame, group: str, value: str, ties=(), descending: bool = False,
+                   sums: dict | None = None, rank_col: str = "rank") -> DataFrame:
+    """``ordered_prefix`` inside each group of a small integer column
+    ``group`` (e.g. a feature or model index), in one ordered pass for all
+    groups: the order is (group, value, *ties); ranks and running sums
+    restart in each group. Values are rescaled per group to [0, 1] (a
+    monotone map) so that the shared value buckets stay balanced across
+    groups whose values live on different scales. Adds ``rank_col``, the
+    running sums and ``<name>_total`` / ``n_group`` per group."""
+    sums = sums or {}
+    rng = df.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                F.count(F.lit(1)).alias("_gn"),
+                                *[F.sum(e).alias(f"_gt_{k}") for k, e in sums.items()]).collect()
+    # one row per group: offsets of the earlier groups and the rescaling
+    rng = sorted(rng, key=lambda r: r[group])
+    acc_n, acc = 0, {k: 0 for k in sums}
+    lo_m, span_m, off_n, off_s, tot_n, tot_s = {}, {}, {}, {k: {} for k in sums}, {}, {k: {} for k in sums}
+    for r in rng:
+        g = r[group]
+        lo_m[g] = float(r["_lo"]) if r["_lo"] is not None else 0.0
+        span = (float(r["_hi"]) - lo_m[g]) if r["_hi"] is not None else 0.0
+        span_m[g] = span if span > 0 else 1.0
+        off_n[g], tot_n[g] = acc_n, r["_gn"]
+        acc_n += r["_gn"]
+        for k in sums:
+            off_s[k][g], tot_s[k][g] = acc[k], r[f"_gt_{k}"] or 0
+            acc[k] += r[f"_gt_{k}"] or 0
+
+    def lookup(m):
+        return F.create_map(*[x for key, v in m.items() for x in (F.lit(key), F.lit(v))])[F.col(group)]
+    v = F.col(value).cast("double")
+    u = (v - lookup(lo_m)) / lookup(span_m)
+    if descending:
+        u, v = 1.0 - u, -v
+    # the rescaled value only steers bucketing; rounding can merge distinct
+    # values in it, so the exact (signed) value orders next
+    keyed = df.withColumn("_gs", F.col(group).cast("double")).withColumn("_gu", u).withColumn("_gv", v)
+    o = ordered_prefix(keyed, "_gs", ["_gu", "_gv", *ties], descending=False, sums=sums, rank_col="_grank",
+                       total_col=None)
+    o = o.withColumn(rank_col, F.col("_grank") - lookup(off_n)).withColumn("n_group", lookup(tot_n))
+    for k in sums:
+        o = (o.withColumn(k, F.col(k) - lookup(off_s[k]))
+              .withColumn(f"{k}_total", lookup(tot_s[k])))
+    return o.drop("_gs", "_gu", "_gv", "_grank")

@@ -83,6 +83,27 @@ def exact_median(df: DataFrame, col: str) -> DataFrame:
                     .alias("median"))
 
 
+def exact_medians(df: DataFrame, cols) -> dict:
+    """Exact medians of several columns in one ordered pass: values of all
+    columns in long form, counted per (column, value) (an aggregation), then
+    ordered within each column by ``grouped_prefix``. Returns {col: median}."""
+    from tallystack.operators.ordered import grouped_prefix
+    long = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("double").alias("v"))
+                                          for i, c in enumerate(cols)])).alias("s"))
+              .select("s.g", "s.v").where(F.col("v").isNotNull()))
+    from tallystack.session import checkpoint
+    # the aggregate is read by three jobs (group stats, quantiles, result): written once
+    per = checkpoint(long.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
+    o = grouped_prefix(per, "g", "v", sums={"cum": F.col("c")})
+    n = F.col("cum_total")
+    k1, k2 = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
+    lo = F.col("cum") - F.col("c")
+    hit = lambda k: F.when((k > lo) & (k <= F.col("cum")), F.col("v")).otherwise(0.0)
+    res = o.groupBy("g").agg(((F.sum(hit(k1)) + F.sum(hit(k2))) / 2.0).alias("m")).collect()
+    got = {r["g"]: r["m"] for r in res}
+    return {c: got.get(i) for i, c in enumerate(cols)}
+
+
 def summary_stats(df: DataFrame, cols, digits: int = 3, exact: bool = True) -> DataFrame:
     """One row per column: mean, median, sd (n-1), min, max, rounded half to
     even. ``exact=False`` uses ``percentile_approx`` for the median (one
@@ -95,11 +116,9 @@ def summary_stats(df: DataFrame, cols, digits: int = 3, exact: bool = True) -> D
         if not exact:
             aggs.append(F.percentile_approx(x, 0.5, 100000).cast("double").alias(f"med{i}"))
     if exact:
-        # one scalar per column, brought back as a literal (no cross join);
-        # the columns' ordering jobs run concurrently
-        from tallystack.session import parallel_map
-        meds = parallel_map(lambda c: exact_median(df, c).first()["median"], cols)
-        aggs += [F.lit(m).cast("double").alias(f"med{i}") for i, m in enumerate(meds)]
+        # one scalar per column, brought back as a literal (no cross join)
+        meds = exact_medians(df, cols)
+        aggs += [F.lit(meds[c]).cast("double").alias(f"med{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("feature"),
                      *[F.bround(F.col(f"{s}{i}"), digits).alias(o) for s, o in

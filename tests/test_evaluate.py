@@ -92,3 +92,20 @@ def test_class_summary_two_f1_forms_agree(spark):
     r = evaluate.class_summary(df, "p", "o", "a").first()
     tp, fp, fn = 2, 1, 1
     assert r["F1"] == pytest.approx(2 * tp / (2 * tp + fp + fn))
+
+
+def test_grouped_prefix_restarts_per_group(spark):
+    from tallystack.operators.ordered import grouped_prefix
+    random.seed(8)
+    rows = [(g, float(random.choice([1.0, 2.0, 2.0, random.random() * 10 ** g, 1e-20 * random.randint(1, 5)])),
+             i, random.randint(0, 1)) for i in range(3000) for g in [i % 3]]
+    df = spark.createDataFrame(rows, "g int, v double, id long, y int")
+    for desc in (False, True):
+        got = {r["id"]: (r["rank"], r["c"]) for r in
+               grouped_prefix(df, "g", "v", ["id"], descending=desc, sums={"c": F.col("y")}).collect()}
+        for g in range(3):
+            grp = sorted([r for r in rows if r[0] == g], key=lambda r: ((-r[1] if desc else r[1]), r[2]))
+            c = 0
+            for k, r in enumerate(grp, 1):
+                c += r[3]
+                assert got[r[2]] == (k, c)
