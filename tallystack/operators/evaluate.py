@@ -135,48 +135,52 @@ def pct_correct(df: DataFrame, pred: str, obs: str) -> DataFrame:
     return df.agg((F.avg((F.col(pred) == F.col(obs)).cast("double")) * 100).alias("pct_correct"))
 
 
+def _long_scores(df: DataFrame, scores: dict, label: str, id_col: str, positive=1) -> DataFrame:
+    """(g, model, id, y, score): one row per (row, model), g = model index."""
+    return df.select(id_col, _y(label, positive).alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("g"), F.lit(name).alias("model"), F.col(c).cast("double").alias("score"))
+        for i, (name, c) in enumerate(scores.items())])).alias("x")).select("x.g", "x.model", id_col, "_y", "x.score")
+
+
 def lift_multi(df: DataFrame, scores: dict, label: str, id_col: str, positive=1) -> DataFrame:
-    """Lift curves of several models in one long table (model, rank, cum_x,
-    cum_y). ``scores`` = {model name: score column}; each model is ordered by
-    its own score with the two-phase prefix sum."""
-    from tallystack.session import parallel_map
-
-    def one(item):
-        name, col = item
-        return lift_curve(df.select(id_col, label, col), col, label, id_col, positive) \
-            .select(F.lit(name).alias("model"), id_col, "rank", "cum_x", "cum_y")
-    parts = parallel_map(one, list(scores.items()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Lift curves of several models in one long table (model, id, rank,
+    cum_x, cum_y). ``scores`` = {model name: score column}; all models are
+    ordered in one pass (descending score, then id, within each model)."""
+    from tallystack.operators.ordered import grouped_prefix
+    long = _long_scores(df, scores, label, id_col, positive)
+    o = grouped_prefix(long, "g", "score", [id_col], descending=True, sums={"cum_pos": F.col("_y")})
+    return o.select("model", id_col, "rank", (F.col("rank") / F.col("n_group")).alias("cum_x"),
+                    F.try_divide(F.col("cum_pos"), F.col("cum_pos_total")).alias("cum_y"))
 
 
 def leaderboard(df: DataFrame, scores: dict, label: str, id_col: str, threshold=None,
                 positive=1, seconds: dict | None = None) -> DataFrame:
     """TDL, Gini and percent correct per model, TDL and Gini also divided by
     their maximum over models. ``threshold`` (default: mean label) turns a
-    score into a class: score > threshold."""
+    score into a class: score > threshold. All models in one ordered pass."""
+    from tallystack.operators.ordered import grouped_prefix
     y = _y(label, positive)
     if threshold is None:
         threshold = df.agg(F.avg(y)).first()[0]
-    from tallystack.session import parallel_map
-
-    def one(item):
-        name, col = item
-        m = lift_metrics(df, col, label, id_col, positive).select(
-            F.lit(name).alias("model"), "tdl", "gini")
-        pc = df.agg((F.avg((F.when(F.col(col) > F.lit(threshold), 1).otherwise(0) == y)
-                           .cast("double")) * 100).alias("pct_correct")).first()[0]
-        m = m.withColumn("pct_correct", F.lit(pc).cast("double"))
-        if seconds is not None:
-            m = m.withColumn("seconds", F.lit(float(seconds.get(name, 0.0))))
-        return m
-    parts = parallel_map(one, list(scores.items()))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    w = Window.partitionBy()  # one row per model: a handful of rows
+    long = _long_scores(df, scores, label, id_col, positive)
+    o = grouped_prefix(long, "g", "score", [id_col], descending=True, sums={"cum_pos": F.col("_y")})
+    n, p = F.col("n_group"), F.col("cum_pos_total")
+    cx, cy = F.col("rank") / n, F.try_divide(F.col("cum_pos"), p)
+    cut = F.floor(n * 0.1)
+    per = o.select("model", n.alias("n"), p.alias("p"), cut.alias("cut"),
+                   F.when(F.col("rank") <= cut, F.col("_y")).otherwise(0).alias("top_hit"),
+                   F.try_divide(cy - cx, 1 - cx).alias("gg"),
+                   (F.when(F.col("score") > F.lit(threshold), 1).otherwise(0) == F.col("_y")).cast("double").alias("ok"))
+    a = per.groupBy("model", "n", "p", "cut").agg(F.sum("top_hit").alias("th"), F.sum("gg").alias("gs"),
+                                                  F.avg("ok").alias("acc"))
+    tdl = F.try_divide(F.try_divide(F.col("th"), F.col("cut")), F.try_divide(F.col("p"), F.col("n")))
+    rows = a.select("model", F.when(F.col("cut") > 0, tdl).alias("tdl"),
+                    (F.coalesce(F.col("gs"), F.lit(0.0)) / F.col("n")).alias("gini"),
+                    (F.col("acc") * 100).alias("pct_correct"))
+    if seconds is not None:
+        secs = F.create_map(*[x for k, v in seconds.items() for x in (F.lit(k), F.lit(float(v)))])
+        rows = rows.withColumn("seconds", secs[F.col("model")])
+    w = Window.partitionBy()  # one row per model
     return (rows.withColumn("tdl_rel", F.col("tdl") / F.max("tdl").over(w))
                 .withColumn("gini_rel", F.col("gini") / F.max("gini").over(w)))
 
