@@ -158,11 +158,16 @@ def leaderboard(df: DataFrame, scores: dict, label: str, id_col: str, threshold=
     """TDL, Gini and percent correct per model, TDL and Gini also divided by
     their maximum over models. ``threshold`` (default: mean label) turns a
     score into a class: score > threshold. All models in one ordered pass."""
-    from tallystack.operators.ordered import grouped_prefix
     y = _y(label, positive)
     if threshold is None:
         threshold = df.agg(F.avg(y)).first()[0]
     long = _long_scores(df, scores, label, id_col, positive)
+    return _board(long, id_col, threshold, seconds)
+
+
+def _board(long: DataFrame, id_col: str, threshold, seconds) -> DataFrame:
+    """(g, model, id, _y, score) rows -> one leaderboard row per model."""
+    from tallystack.operators.ordered import grouped_prefix
     o = grouped_prefix(long, "g", "score", [id_col], descending=True, sums={"cum_pos": F.col("_y")})
     n, p = F.col("n_group"), F.col("cum_pos_total")
     cx, cy = F.col("rank") / n, F.try_divide(F.col("cum_pos"), p)
@@ -199,18 +204,14 @@ def leaderboard_scored(scored: dict, threshold: float, seconds: dict | None = No
                        id_col: str = "id", label: str = "label", score: str = "score") -> DataFrame:
     """Leaderboard from one scored table per model ({name: (id, label,
     score)}): TDL, Gini, percent correct at ``threshold``, seconds, and TDL
-    and Gini relative to their best model."""
-    rows = None
-    for name, df in scored.items():
-        m = lift_metrics(df, score, label, id_col).select(F.lit(name).alias("model"), "tdl", "gini")
-        pc = df.agg((F.avg((F.when(F.col(score) > F.lit(threshold), 1).otherwise(0) == F.col(label))
-                           .cast("double")) * 100).alias("p")).first()["p"]
-        m = m.withColumn("pct_correct", F.lit(pc).cast("double")) \
-             .withColumn("seconds", F.lit(float((seconds or {}).get(name, 0.0))))
-        rows = m if rows is None else rows.unionByName(m)
-    w = Window.partitionBy()  # one row per model
-    return (rows.withColumn("tdl_rel", F.col("tdl") / F.max("tdl").over(w))
-                .withColumn("gini_rel", F.col("gini") / F.max("gini").over(w)))
+    and Gini relative to their best model; all models in one ordered pass."""
+    parts = [d.select(F.lit(i).alias("g"), F.lit(name).alias("model"), id_col,
+                      _y(label).alias("_y"), F.col(score).cast("double").alias("score"))
+             for i, (name, d) in enumerate(scored.items())]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    return _board(long, id_col, threshold, seconds)
 
 
 def importance_auc(df: DataFrame, features, label: str, positive=1) -> DataFrame:
