@@ -128,3 +128,12 @@ def impute_chained(spark, sf):
     p = pmiss(spark, sf, False).drop("p_name")
     return impute.impute_chained(p, {"p_size": ["p_type", "p_brand", "p_retailprice"]}, "p_partkey",
                                  m=5, max_iter=2, seed=500)
+
+
+@query("impute_chained_pmm")
+def impute_chained_pmm(spark, sf):
+    """The same chained imputation with predictive mean matching for the
+    numeric target (5 donors)."""
+    p = pmiss(spark, sf, False).drop("p_name")
+    return impute.impute_chained(p, {"p_size": ["p_type", "p_brand", "p_retailprice"]}, "p_partkey",
+                                 m=5, max_iter=2, seed=500, numeric_method="pmm", donors=5)
