@@ -69,9 +69,10 @@ def gini(df, score, label, id_col, positive=1) -> DataFrame:
 
 def roc_points(df: DataFrame, score: str, label: str, positive=1) -> DataFrame:
     """ROC points per distinct score (threshold = score, predict positive
-    when score >= threshold): tpr, fpr, plus the per-score counts."""
+    when score >= threshold): tpr, fpr, plus the per-score counts. A row
+    without a score cannot be ranked and is left out, as ROC packages do."""
     y = _y(label, positive)
-    per = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     o = ordered_prefix(per, "threshold", "threshold", True,
                        sums={"tp": F.col("pos"), "fp": F.col("neg")}, total_col=None)

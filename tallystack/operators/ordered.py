@@ -42,6 +42,8 @@ def _splits(qs):
         if v in heavy:
             splits.append(math.nextafter(v, math.inf))
     splits.append(math.inf)
+    if len(splits) < 3:                # no quantiles (empty or all-null input)
+        splits = [-math.inf, 0.0, math.inf]
     points = [i for i in range(len(splits) - 1)
               if splits[i] in heavy and splits[i + 1] == math.nextafter(splits[i], math.inf)]
     return splits, points
@@ -66,8 +68,11 @@ def ordered_prefix(df: DataFrame, score: str, tiebreak, descending: bool = True,
     probs = [i / n_buckets for i in range(1, n_buckets)]
     rel = 1.0 / (4 * n_buckets)
 
-    base = df.withColumn("_os", F.col(score).cast("double")) \
-             .withColumn("_ot", F.col(tiebreak).cast("double"))
+    # null -> NaN: the bucketizer keeps NaN in its extra (last) bucket, while
+    # a null bucket key would not match the offsets join
+    nan = F.lit(float("nan"))
+    base = df.withColumn("_os", F.coalesce(F.col(score).cast("double"), nan)) \
+             .withColumn("_ot", F.coalesce(F.col(tiebreak).cast("double"), nan))
     q_score, q_id = base.approxQuantile(["_os", "_ot"], probs, rel)
     s_splits, points = _splits(q_score)
     i_splits, _ = _splits(q_id)

@@ -109,3 +109,12 @@ def test_grouped_prefix_restarts_per_group(spark):
             for k, r in enumerate(grp, 1):
                 c += r[3]
                 assert got[r[2]] == (k, c)
+
+
+def test_ordered_prefix_nulls_last_and_empty(spark):
+    rows = [(1, 0.5), (2, None), (3, 0.9), (4, None), (5, 0.1)]
+    df = spark.createDataFrame(rows, "id long, s double")
+    got = [r["id"] for r in ordered_prefix(df, "s", "id", True).orderBy("rank").collect()]
+    assert got == [3, 1, 5, 2, 4]
+    empty = df.limit(0)
+    assert ordered_prefix(empty, "s", "id", True).count() == 0
