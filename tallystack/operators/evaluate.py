@@ -224,7 +224,7 @@ def importance_auc(df: DataFrame, features, label: str, positive=1) -> DataFrame
     y = _y(label, positive)
     long = df.select(y.alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("g"), F.col(f).cast("double").alias("s")) for i, f in enumerate(features)]))
-        .alias("x")).select("x.g", "x.s", "_y")
+        .alias("x")).select("x.g", "x.s", "_y").where(F.col("s").isNotNull())
     from tallystack.session import checkpoint
     # the aggregate is read by three jobs (group stats, quantiles, result): written once
     per = checkpoint(long.groupBy("g", "s").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")))

@@ -118,3 +118,14 @@ def test_ordered_prefix_nulls_last_and_empty(spark):
     assert got == [3, 1, 5, 2, 4]
     empty = df.limit(0)
     assert ordered_prefix(empty, "s", "id", True).count() == 0
+
+
+def test_importance_auc_matches_single_feature_auc(spark):
+    random.seed(11)
+    rows = [(i, random.random(), None if i % 17 == 0 else float(random.randint(0, 5)), random.randint(0, 1))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    got = {r["feature"]: r["importance"] for r in evaluate.importance_auc(df, ["a", "b"], "y").collect()}
+    for f in ("a", "b"):
+        auc = evaluate.roc_auc(df, f, "y").first()["auc"]
+        assert got[f] == pytest.approx(max(auc, 1 - auc))
