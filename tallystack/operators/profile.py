@@ -172,7 +172,7 @@ def grid_density(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     g = pts.groupBy(F.floor(F.col("x") / cell).alias("cell_x"),
                     F.floor(F.col("y") / cell).alias("cell_y")).agg(F.count(F.lit(1)).alias("n"))
     total = pts.count()   # scalar action; avoids a one-partition window over the cells
-    return g.withColumn("share", F.col("n") / F.lit(float(total)) if total else F.lit(None))
+    return g.withColumn("share", F.col("n") / F.lit(float(total)) if total else F.lit(None).cast("double"))
 
 
 def grid_density_smoothed(df: DataFrame, x: str, y: str, cell: float, radius: int = 2,
@@ -193,7 +193,8 @@ def grid_density_smoothed(df: DataFrame, x: str, y: str, cell: float, radius: in
     sm = (g.select("cell_x", "cell_y", "n", o)
            .groupBy((F.col("cell_x") + F.col("o.dx")).alias("cell_x"), (F.col("cell_y") + F.col("o.dy")).alias("cell_y"))
            .agg(F.sum(F.col("n") * F.col("o.w")).alias("weighted")))
-    return sm.withColumn("density", F.col("weighted") / F.lit(float(total * wsum) if total else None))
+    return sm.withColumn("density", F.col("weighted") / F.lit(float(total * wsum)) if total
+                         else F.lit(None).cast("double"))
 
 
 def geo_points(df: DataFrame, x: str, y: str, cat: str) -> DataFrame:
