@@ -52,5 +52,8 @@ def test_assemble_default_and_parity(spark):
     assert d[("b2", "2017-05-05")]["reach"] is None                    # check-in day, audience missing
     assert d[("b2", "2017-05-07")]["reach"] == 0.0                     # no check-in: audience gated to 0
     assert d[("b1", "2017-05-06")]["cum_max_u_elite"] == 0.0
+    # the reference's way: two different fans rows on (b1, 2017-05-05) survive
+    # the full-row de-duplication, so that day appears twice
     p = checkin.assemble_facts(b, inputs, parity=True)
-    assert p.count() == 4
+    assert p.count() == 5
+    assert p.filter("business_id = 'b1' AND date = DATE'2017-05-05'").count() == 2
