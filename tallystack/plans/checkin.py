@@ -142,3 +142,40 @@ def assemble_facts(business: DataFrame, inputs: dict, parity: bool = False,
     facts = relate.join_on(facts, share, [key], "left")
     facts = features.add_calendar(facts, day)
     return clean.fill_const(facts, {"share_positive_feedback": 0.0, "share_negative_feedback": 0.0})
+
+
+# The modelling variables in the reference's order (target
+# text, target number, then the features). "stars.x" there is the business
+# rating, here the column "stars".
+MODEL_VARS = ("ch_in_string", "ch_in", "stars", "review_count", "free_wifi", "has_tv", "caters",
+              "alcohol", "noise_level", "for_kids", "outdoor_seating", "has_parking", "price_range",
+              "takes_reservations", "good_for_groups", "categories", "open_hours_mon", "open_hours_tue",
+              "open_hours_wed", "open_hours_thu", "open_hours_fri", "open_hours_sat", "open_hours_sun",
+              "open_hours_week", "n_photo", "avg_stars_us", "n_reviews_us", "usefull", "funny", "cool",
+              "cum_n_tips", "cum_max_u_elite", "cum_max_us_tip", "temp_avg", "precipitation",
+              "stars_review", "rolling_reach_sum", "WE", "Quarter", "share_positive_feedback",
+              "share_negative_feedback")
+CATEGORICAL_VARS = ("free_wifi", "has_tv", "caters", "alcohol", "noise_level", "for_kids", "outdoor_seating",
+                    "has_parking", "price_range", "takes_reservations", "good_for_groups", "categories",
+                    "WE", "Quarter")
+
+
+def training_tables(facts: DataFrame, key: str = "id", frac: float = 0.75, seed: int = 66):
+    """Label text ('ch_in' for >= 1 check-ins, 'Noch_in' for 0), a row key,
+    the exact 75 / 25 hash split, the feature description (variables present
+    in ``facts``; categorical ones as text) and the threshold = share of
+    check-ins in the training table. Returns (train, evaluate, spec,
+    threshold)."""
+    from tallystack.operators import prep
+    t = clean.label_text(facts, "ch_in", "ch_in_string")
+    t = t.withColumn("ch_in", F.when(F.col("ch_in") >= 1, 1).when(F.col("ch_in") == 0, 0))
+    if key not in t.columns:
+        t = t.withColumn(key, F.xxhash64("business_id", F.col("date").cast("string")))
+    present = [v for v in MODEL_VARS if v in t.columns]
+    cat = [v for v in CATEGORICAL_VARS if v in present]
+    t = t.withColumns({c: F.col(c).cast("string") for c in cat})
+    spec = prep.FeatureSpec.from_names(present, categorical=cat)
+    s = prep.shuffle_split(t.select(key, *present), key, frac, seed)
+    train, ev = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "eval")
+    thr = train.agg(F.avg("ch_in")).first()[0]
+    return train, ev, spec, thr

@@ -57,3 +57,13 @@ def test_assemble_default_and_parity(spark):
     p = checkin.assemble_facts(b, inputs, parity=True)
     assert p.count() == 5
     assert p.filter("business_id = 'b1' AND date = DATE'2017-05-05'").count() == 2
+
+
+def test_training_tables(spark):
+    biz, inputs = frames(spark)
+    facts = checkin.assemble_facts(checkin.clean_business(biz), inputs)
+    tr, ev, spec, thr = checkin.training_tables(facts)
+    assert tr.count() + ev.count() == 4 and tr.count() == 3
+    assert spec.label == "ch_in" and spec.label_text == "ch_in_string"
+    assert "WE" in spec.categorical and "rolling_reach_sum" in spec.numeric and "stars_review" not in spec.numeric
+    assert 0.0 <= thr <= 1.0
