@@ -42,6 +42,9 @@ def impute_marginal(df: DataFrame, cols, key: str, m: int = 5, seed: int = 500,
         vals, bounds = marginal_table(df, c)
         if not vals:
             continue
+        if len(vals) == 1:                 # one observed level: the draw is that level
+            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(vals[0]).cast(df.schema[c].dataType)))
+            continue
         splits = [0.0] + bounds[:-1] + [float("inf")]
         # bucket i covers [bound_{i-1}, bound_i): a binary search on the JVM
         out = out.withColumn(f"_u_{c}", hash_uniform(seed, F.col("imp"), F.lit(c), key))
@@ -112,6 +115,13 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
     from tallystack.session import checkpoint
 
     categorical = set(categorical)
+    # predictors with a single value (or none) carry no information and
+    # cannot be encoded: one min/max aggregation finds them
+    preds_all = sorted({p for ps in mask.values() for p in ps})
+    if preds_all:
+        mm = df.agg(*[x for p in preds_all for x in (F.min(p).alias(f"mn_{p}"), F.max(p).alias(f"mx_{p}"))]).first()
+        constant = {p for p in preds_all if mm[f"mn_{p}"] is None or mm[f"mn_{p}"] == mm[f"mx_{p}"]}
+        mask = {t: [p for p in ps if p not in constant] for t, ps in mask.items()}
     targets = [t for t, p in mask.items() if p]
     cols_with_na = [c for c in df.columns if c != key]
     orig_missing = {t: f"_miss_{t}" for t in targets}

@@ -67,3 +67,29 @@ def test_training_tables(spark):
     assert spec.label == "ch_in" and spec.label_text == "ch_in_string"
     assert "WE" in spec.categorical and "rolling_reach_sum" in spec.numeric and "stars_review" not in spec.numeric
     assert 0.0 <= thr <= 1.0
+
+
+def test_impute_business_fills_price_range_only_where_missing(spark):
+    import random
+    from pyspark.sql import functions as F
+    biz, _ = frames(spark)
+    b = checkin.clean_business(biz).filter("business_id = 'b1'")
+    random.seed(2)
+    rows = b.collect()[0].asDict()
+    gen = []
+    for i in range(80):
+        r = dict(rows)
+        r["business_id"] = f"b{i}"
+        r["price_range"] = None if i % 7 == 0 else str(1 + i % 3)
+        r["noise_level"] = random.choice(["quiet", "loud", None])
+        r["stars"] = float(i % 5)
+        gen.append(r)
+    df = spark.createDataFrame(gen, b.schema)
+    out = checkin.impute_business(df, m=2, max_iter=1, keep=2)
+    got = {r["business_id"]: r for r in out.collect()}
+    assert len(got) == 80
+    for r in gen:
+        g = got[r["business_id"]]
+        assert g["price_range"] in ("1", "2", "3")
+        if r["price_range"] is not None:
+            assert g["price_range"] == r["price_range"]

@@ -46,3 +46,9 @@ def test_dummy_code_levels(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, c string")
     out = prep.dummy_code(df, "c", ["a", "b"], drop_base=True).orderBy("k").collect()
     assert [r["c_b"] for r in out] == [0, 1, None] and "c_a" not in out[0].asDict()
+
+
+def test_impute_marginal_single_level(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "k long, c string")
+    out = impute.impute_marginal(df, ["c"], "k", m=2)
+    assert {r["c"] for r in out.collect()} == {"a"} and out.count() == 6
