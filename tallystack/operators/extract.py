@@ -21,6 +21,9 @@ def daily_grid(events: DataFrame, key: str, ts: str, cond=None, start=None, end=
     if start is None or end is None:
         lo, hi = ev.agg(F.min(day), F.max(day)).first()
         start, end = start or lo, end or hi
+    if start is None or end is None:             # no events: an empty grid
+        return (ev.select(key, day).limit(0).withColumn(count_name, F.lit(0).cast("long"))
+                  .withColumn(flag, F.lit(0)))
     start, end = (_dt.date.fromisoformat(str(x)[:10]) for x in (start, end))
     days = F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 DAY"))
     grid = ev.select(key).distinct().withColumn(day, F.explode(days))

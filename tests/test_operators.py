@@ -135,3 +135,17 @@ def test_impute_chained_pmm_draws_observed_values(spark):
     for r in got:
         if orig[r["k"]] is None:
             assert abs(r["a"] - 1.5 * r["b"]) <= 1.5 + 1e-6
+
+
+def test_empty_and_one_class_inputs(spark):
+    from tallystack.operators import evaluate, prep
+    ev = spark.createDataFrame([], "u long, ts timestamp_ntz, t string")
+    g = extract.daily_grid(ev, "u", "ts", F.col("t") == "purchase", count_name="n", flag="f")
+    assert g.count() == 0 and g.columns == ["u", "day", "n", "f"]
+    s = spark.createDataFrame([(i, float(i), 0) for i in range(20)], "id long, s double, y int")
+    m = evaluate.lift_metrics(s, "s", "y", "id").first()
+    assert m["gini"] == 0.0 and m["tdl"] is None
+    one = spark.createDataFrame([(i, 1) for i in range(5)], "k long, y int")
+    o = prep.oversample(one, "y", "k")
+    assert o.count() == 5
+    assert prep.shuffle_split(one.limit(0), "k").count() == 0
