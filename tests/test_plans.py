@@ -47,3 +47,10 @@ def test_ordered_metrics_window_partitioned_by_bucket(plans):
 
 def test_sentiment_share_is_one_aggregation(plans):
     assert plans["sentiment_share"].count("Exchange hashpartitioning") == 1
+
+
+def test_no_row_at_a_time_python(plans):
+    """Python in a plan is only Arrow-batched (ArrowEvalPython, cogroups)."""
+    bad = [n for n, t in plans.items() if "BatchEvalPython" in t]
+    assert not bad, bad
+    assert "ArrowEvalPython" in plans["model_knn"] or "FlatMapCoGroupsInPandas" in plans["model_knn"]
