@@ -24,3 +24,44 @@ def load_llm() -> dict:
 def op3_minhash_near_dedup(spark, sf):
     from tallystack.llm.minhash import near_duplicates
     return near_duplicates(read_table(spark, sf, "documents"), k=4, percent=80)
+
+
+# the same measures, moments and verdicts in SQL; DuckDB's strlen-like
+# functions on code points are length(), list functions are 1-based
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text,
+        list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, (SELECT unnest(range(0, 5)) AS j) GROUP BY doc_id),
+m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        100 * n_symbols > 30 * n_words AS f_symbols, 100 * n_dup_lines > 30 * n_lines AS f_lines,
+        word_chars < 2 * n_words OR word_chars > 20 * n_words AS f_length FROM m),
+h AS (SELECT source, 'lines' AS rule, count(*) AS n, count(*) FILTER (f_lines) AS x FROM f GROUP BY source
+      UNION ALL SELECT source, 'length', count(*), count(*) FILTER (f_length) FROM f GROUP BY source),
+p AS (SELECT rule, sx / sn AS m, (sxx - sx / sn * sx) / sn - sx / sn * (1 - sx / sn) * k / sn AS v
+      FROM (SELECT rule, sum(n) AS sn, sum(x) AS sx, sum(x * x / n) AS sxx, count(*) AS k FROM h GROUP BY rule)),
+s AS (SELECT source, h.rule, (x + m * mm) / (n + mm) AS rate
+      FROM h JOIN (SELECT *, greatest(10.0, m * (1 - m) / greatest(v, 1e-9) - 1) AS mm FROM p) p ON h.rule = p.rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR f_symbols
+            OR (f_lines AND EXISTS (SELECT 1 FROM s WHERE s.source IS NOT DISTINCT FROM f.source AND rule = 'lines' AND rate > 0.5))
+            OR (f_length AND EXISTS (SELECT 1 FROM s WHERE s.source IS NOT DISTINCT FROM f.source AND rule = 'length' AND rate > 0.5))) AS kept
+FROM f"""
+
+
+@query("op8_quality_rules", OP8_SQL)
+def op8_quality_rules(spark, sf):
+    from tallystack.llm.quality import quality_rules
+    q = quality_rules(read_table(spark, sf, "documents"), carry=["doc_id"])
+    return q.select("doc_id", *[f"quality.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
