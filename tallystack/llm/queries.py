@@ -65,3 +65,22 @@ def op8_quality_rules(spark, sf):
     q = quality_rules(read_table(spark, sf, "documents"), carry=["doc_id"])
     return q.select("doc_id", *[f"quality.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id AS id, false AS item, text FROM documents UNION ALL
+           SELECT item_id, true, text FROM benchmark),
+ws AS (SELECT id, item, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+       FROM w),
+g AS (SELECT DISTINCT id, item, list_slice(ws, i, i + 4) AS gram
+      FROM (SELECT id, item, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM ws WHERE len(ws) > 0)),
+n AS (SELECT id, count(*) AS n_item FROM g WHERE item GROUP BY id),
+c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_common
+      FROM g d JOIN g b ON d.gram = b.gram AND b.item AND NOT d.item GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_common FROM c JOIN n ON c.item_id = n.id WHERE n_common * 100 >= n_item * 80"""
+
+
+@query("op10_benchmark_decontamination", OP10_SQL)
+def op10_benchmark_decontamination(spark, sf):
+    from tallystack.llm.decontaminate import containment_search
+    return containment_search(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
