@@ -26,7 +26,8 @@ from pyspark.sql import Window
 from tallystack.llm import arrays as A
 from tallystack.llm.common import connected_components, prepare, two_columns, written
 
-T, ROWS = 128, 4          # 32 bands of 4: a pair at similarity 0.8 is missed with probability 5e-8
+T, ROWS, BANDS = 256, 4, 32      # 32 bands of 4: a pair at similarity 0.8 is missed with probability 5e-8
+SIGMAS = 6.2                     # one bit of each coordinate: a pair at the limit fails the pre-check at this distance
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +60,7 @@ def sketch(g, d, n_docs: int, t: int = T):
     return out
 
 
-def _sketches(k: int, t: int, rows: int):
+def _sketches(k: int, t: int, rows: int, bands: int):
     def run(frames):
         for pdf in frames:
             raw = [x.encode("utf-8") for x in pdf["text"]]
@@ -73,13 +74,15 @@ def _sketches(k: int, t: int, rows: int):
                     p2 = np.concatenate([[np.uint64(0)], np.cumsum(A.mix(g ^ np.uint64(0x5851F42D4C957F2D)))])
                     at = np.concatenate([[0], np.cumsum(n)])
                     f1, f2 = p1[at[1:]] - p1[at[:-1]], p2[at[1:]] - p2[at[:-1]]
-                    sk = sketch(g, d, j - i, t).reshape(j - i, t // rows, rows)
-                    key = np.broadcast_to(np.arange(t // rows, dtype=np.uint64), (j - i, t // rows)).copy()
+                    sk = sketch(g, d, j - i, t)
+                    bits = np.packbits((A.mix(sk) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                    sk = sk[:, :bands * rows].reshape(j - i, bands, rows)
+                    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (j - i, bands)).copy()
                     for r in range(rows):
                         key = A.mix(key * np.uint64(0xFF51AFD7ED558CCD) + sk[:, :, r])
                 yield pd.DataFrame({"doc_id": ids[i:j], "n_shingles": n.astype(np.int64),
                                     "f1": f1.view(np.int64), "f2": f2.view(np.int64),
-                                    "bands": list(key.view(np.int64))})
+                                    "bits": list(bits), "bands": list(key.view(np.int64))})
     return run
 
 
@@ -113,7 +116,8 @@ def _confirm(k: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    percent: int = 80, t: int = T, rows: int = ROWS, hubs: int = 64) -> DataFrame:
+                    percent: int = 80, t: int = T, rows: int = ROWS, bands: int = BANDS, hubs: int = 256,
+                    max_broadcast: int = 2_000_000) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id, kept).
 
     Words are maximal runs of non-space characters, A-Z lower-cased; a
@@ -130,64 +134,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     prepare(spark)
     d = two_columns(docs, id_col, text_col)
-    made = written(d.mapInPandas(_sketches(k, t, rows),
-                                 "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketch")
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(max_broadcast + 1).count() <= max_broadcast else ids
+
+    made = written(d.mapInPandas(_sketches(k, t, rows, bands), "doc_id long, n_shingles long, f1 long, f2 long, "
+                                 "bits array<long>, bands array<long>"), "sketch")
     same = ["n_shingles", "f1", "f2"]
     least = written(made.where("n_shingles > 0 and doc_id is not null")
                     .groupBy(*same).agg(F.min("doc_id").alias("rep")), "least")
     # one representative per set of equal documents carries the bands
-    reps = (made.join(least, same).where("doc_id = rep").dropDuplicates(["rep"])
-            .select(F.col("rep").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "key")))
-    full = reps.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    members = written(reps.join(full, ["band", "key"]).select("band", "key", "id", "n_shingles"), "buckets")
-    size = members.select("id", "n_shingles").distinct()
-    text = written(d.join(size, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+    reps = written(made.join(least, same).where("doc_id = rep")
+                   .select(F.col("rep").alias("id"), "n_shingles", "bits", "bands"), "reps")
+    keys = reps.select("id", F.explode("bands").alias("key"))
+    full = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    members = written(keys.join(full, "key").distinct(), "buckets")
+    ids = written(members.select("id").distinct(), "ids")
+    size = written(reps.join(small(ids), "id", "left_semi").dropDuplicates(["id"])
+                   .select("id", "n_shingles", "bits"), "sizes")
+    members = written(members.join(size, "id"), "members")
+    text = written(d.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+    # equal bits of two sketches: (1 + similarity) / 2 of them, give or take
+    p = (1 + percent / 100) / 2
+    differ = int(t * (1 - p) + SIGMAS * (t * p * (1 - p)) ** 0.5)
+
+    def plausible(a: str, b: str):
+        apart = sum(F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(t // 64))
+        sizes = [F.col(f"{x}.n_shingles") for x in (a, b)]
+        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (apart <= differ)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        with_text = (pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
-                     .select("a", "b", "ta", "tb"))
-        return with_text.mapInPandas(_confirm(k, percent), "a long, b long, linked boolean")
+        ta, tb = (text.join(small(pairs.select(F.col(x).alias("doc_id")).distinct()), "doc_id", "left_semi").toDF(x, f"t{x}")
+                  for x in "ab")
+        return (pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+                .mapInPandas(_confirm(k, percent), "a long, b long, linked boolean"))
 
-    live = members.withColumn("comp", F.col("id"))
-    tested = edges = comp = None
+    live = members.withColumn("comp", F.col("id")).withColumn("weight", F.lit(1).cast("long"))
+    tested = comp = None
     turn = 0
     while True:
-        if turn == 0:      # the least member is the hub of its bucket
-            hub = live.groupBy("band", "key").agg(F.min("id").alias("h")).join(
-                size.toDF("h", "hn"), "h").withColumn("hcomp", F.col("h"))
-        else:              # then blocks of hubs; the limit is applied before the shuffle
-            w = Window.partitionBy("band", "key").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+        if turn < 2:       # one hub per bucket: the least member, then another
+            order = F.struct("id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+            hub = live.groupBy("key").agg(F.min_by(F.struct("id", "n_shingles", "bits", "comp"), order).alias("h")).select("key", "h.*")
+        else:              # blocks of hubs, members of small components first; limited before the shuffle
+            w = Window.partitionBy("key").orderBy("weight", F.xxhash64("id", F.lit(turn)), "id")
             hub = (live.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= hubs)
-                   .select("band", "key", F.col("id").alias("h"), F.col("n_shingles").alias("hn"),
-                           F.col("comp").alias("hcomp")))
+                   .select("key", "id", "n_shingles", "bits", "comp"))
         hub = written(hub, "hubs")
-        pairs = (live.join(hub, ["band", "key"])
-                 .where((F.col("comp") != F.col("hcomp"))
-                        & (100 * F.least("n_shingles", "hn") >= percent * F.greatest("n_shingles", "hn")))
-                 .select(F.greatest("id", "h").alias("a"), F.least("id", "h").alias("b")).distinct())
+        pairs = (live.alias("x").join(hub.alias("h"), "key")
+                 .where((F.col("x.comp") != F.col("h.comp")) & plausible("x", "h"))
+                 .select(F.greatest("x.id", "h.id").alias("a"), F.least("x.id", "h.id").alias("b")).distinct())
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        done = written(confirm(pairs), "links")
-        tested = done if tested is None else tested.unionByName(done)
-        links = done.where("linked").select("a", "b")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        links = written(confirm(pairs).where("linked").select("a", "b"), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
-            edges = links if edges is None else edges.unionByName(links)
-            comp = written(connected_components(edges).toDF("id", "component"), "comp")
+            if comp is None:
+                comp = connected_components(links).toDF("id", "component")
+            else:          # links between components of the turn before
+                at = comp.select(F.col("id"), F.col("component"))
+                for x in "ab":
+                    links = (links.join(at.withColumnRenamed("id", x), x, "left")
+                             .withColumn(f"c{x}", F.coalesce("component", x)).drop("component"))
+                up = written(connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "up")
+                old = comp.join(up.toDF("component", "new"), "component", "left")
+                fresh = up.toDF("id", "component").join(comp, "id", "left_anti")
+                comp = old.select("id", F.coalesce("new", "component").alias("component")).unionByName(fresh)
+            comp = written(comp, "comp")
         # a hub has met every other component of its bucket; buckets of one component are settled
-        rest = live.drop("comp").join(hub.select("band", "key", F.col("h").alias("id")),
-                                      ["band", "key", "id"], "left_anti")
-        if comp is not None:
-            rest = rest.join(comp, "id", "left")
+        rest = live.drop("comp", "weight").join(hub.select("key", "id"), ["key", "id"], "left_anti")
+        if comp is None:
+            rest = rest.withColumn("comp", F.col("id")).withColumn("weight", F.lit(1).cast("long"))
         else:
-            rest = rest.withColumn("component", F.lit(None).cast("long"))
-        rest = written(rest.withColumn("comp", F.coalesce("component", "id")).drop("component"), "live")
-        mixed = (rest.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                 .where("x < y").select("band", "key"))
-        live = written(rest.join(mixed, ["band", "key"], "left_semi"), "live")
+            sized = comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("w")), "component")
+            rest = (rest.join(sized, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+                    .withColumn("weight", F.coalesce("w", F.lit(1))).drop("component", "w"))
+        rest = written(rest, "rest")
+        mixed = (rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .where("lo < hi").select("key"))
+        live = written(rest.join(mixed, "key", "left_semi"), "live")
         if live.isEmpty():
             break
         turn += 1
-    out = made.drop("bands").join(least, same, "left")
+    out = made.select("doc_id", *same).join(least, same, "left")
     if comp is not None:
         out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     else:
