@@ -84,3 +84,14 @@ SELECT doc_id, item_id, n_item, n_common FROM c JOIN n ON c.item_id = n.id WHERE
 def op10_benchmark_decontamination(spark, sf):
     from tallystack.llm.decontaminate import containment_search
     return containment_search(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@query("op9_pii_boosting")
+def op9_pii_boosting(spark, sf):
+    from tallystack.llm.pii import KINDS, personal_data
+    p = personal_data(read_table(spark, sf, "documents"), carry=["doc_id"])
+
+    def joined(c):
+        return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+    counts = [F.expr(f"size(filter(pii.base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
+    return p.select("doc_id", *counts, F.sha2(joined("pii.base"), 256).alias("base_sha256"), joined("pii.spans").alias("spans"))
