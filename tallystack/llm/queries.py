@@ -95,3 +95,15 @@ def op9_pii_boosting(spark, sf):
         return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     counts = [F.expr(f"size(filter(pii.base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     return p.select("doc_id", *counts, F.sha2(joined("pii.base"), 256).alias("base_sha256"), joined("pii.spans").alias("spans"))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf):
+    from tallystack.llm.packing import pack
+    return pack(read_table(spark, sf, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
