@@ -28,14 +28,14 @@ from tallystack.llm.common import SPACE_CLASS, prepare, two_columns, written
 def shingle_sets(df: DataFrame, k: int, text: str = "text", out: str = "grams") -> DataFrame:
     """``df`` with the array of distinct hashes of its lower-cased k-word
     shingles in ``out`` (empty without words, one for fewer than k words)."""
-    w, g = "_words", "_grams"
-    df = df.withColumn(w, F.filter(F.split(F.lower(text), f"{SPACE_CLASS}+"), lambda x: x != ""))
-    parts = ", ".join(f"{w}[i + {j}]" for j in range(k))
-    df = df.withColumn(g, F.expr(
-        f"CASE WHEN size({w}) >= {k} THEN transform(sequence(0, size({w}) - {k}), i -> xxhash64({parts})) "
-        f"WHEN size({w}) > 0 THEN array(xxhash64(size({w}), concat_ws(' ', {w}))) "
-        f"ELSE CAST(array() AS array<bigint>) END"))
-    return df.withColumn(out, F.array_distinct(g)).drop(w, g)
+    parts = ", ".join(f"w[i + {j}]" for j in range(k))
+    # the words are a lambda variable: they are made once per text, whatever
+    # the optimizer does with the column
+    return df.withColumn(out, F.expr(
+        f"transform(array(filter(split(lower({text}), '{SPACE_CLASS.replace(chr(92), chr(92) * 2)}+'), x -> x <> '')), w -> array_distinct("
+        f"CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> xxhash64({parts})) "
+        f"WHEN size(w) > 0 THEN array(xxhash64(size(w), concat_ws(' ', w))) "
+        f"ELSE CAST(array() AS array<bigint>) END))[0]"))
 
 
 def containment_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -72,14 +72,15 @@ def containment_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     def small(df):
         return F.broadcast(df) if df.limit(max_broadcast + 1).count() <= max_broadcast else df
 
-    probes = shingle_sets(d, k).select("doc_id", F.explode("grams").alias("gram"))
+    # explode_outer: no filter on the array is inferred, which would make it twice
+    probes = shingle_sets(d, k).select("doc_id", F.explode_outer("grams").alias("gram"))
     cand = (probes.join(small(index), "gram").groupBy("doc_id", "class")
             .agg(F.count_distinct("gram").alias("found"), F.first("hits").alias("hits"))
             .where("found >= hits").select("doc_id", "class"))
     cand = written(cand, "candidates")
     ids = cand.select("doc_id").distinct()
     own = (shingle_sets(d.join(small(ids), "doc_id", "left_semi"), k)
-           .select("doc_id", F.explode("grams").alias("gram")).join(small(grams), "gram")
+           .select("doc_id", F.explode_outer("grams").alias("gram")).join(small(grams), "gram")
            .groupBy("doc_id", "class", "n").agg(F.count_distinct("gram").alias("n_common"))
            .where(F.col("n_common") * 100 >= F.col("n") * percent))
     own = own.join(cand, ["doc_id", "class"], "left_semi")
