@@ -107,3 +107,25 @@ def op6_best_fit_packing(spark, sf):
 def pipeline(spark, sf):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
+
+
+# without canonical links or redirects in a page, the method allows what no
+# rule names; the twin repeats that only when no page states an alias
+OP5_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+           FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule, h, p, v) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                            ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+m AS (SELECT page_id, rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k
+      FROM p JOIN r ON (host = r.h OR ends_with(host, '.' || r.h))
+        AND starts_with(p.path, r.p))
+SELECT p.page_id, host, path, m.rule, coalesce(m.v, 'allow') AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1"""
+
+
+@query("op5_url_filters", OP5_SQL)
+def op5_url_filters(spark, sf):
+    from tallystack.llm.urls import url_verdicts
+    return url_verdicts(read_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
