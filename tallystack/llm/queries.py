@@ -129,3 +129,9 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1"""
 def op5_url_filters(spark, sf):
     from tallystack.llm.urls import url_verdicts
     return url_verdicts(read_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark, sf):
+    from tallystack.llm.licenses import license_scan
+    return license_scan(read_table(spark, sf, "documents"))
