@@ -135,3 +135,9 @@ def op5_url_filters(spark, sf):
 def op2_license_scan(spark, sf):
     from tallystack.llm.licenses import license_scan
     return license_scan(read_table(spark, sf, "documents"))
+
+
+@query("op7_secret_forest")
+def op7_secret_forest(spark, sf):
+    from tallystack.llm.secrets import secret_scan
+    return secret_scan(read_table(spark, sf, "documents"))

@@ -1,0 +1,48 @@
+import hashlib
+import random
+import re
+
+import __spark_entry__ as E
+from tallystack.llm.secrets import secret_scan
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_query_finds_the_planted_secrets_and_little_else(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = E.queries()["op7_secret_forest"](spark, SF).collect()
+    want = {(i, m.start(1), m.end(1)) for i, t in docs.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    assert {(r.doc_id, r.s, r.e) for r in out if r.secret} == want and want
+    for r in out:
+        assert hashlib.sha256(docs[r.doc_id][r.s:r.e].encode()).hexdigest() == r.value_sha256
+
+
+def test_forest_on_held_out_findings(spark):
+    """Half of the labelled findings train; accuracy on the other half."""
+    rnd = random.Random(6)
+    words = ["blue", "window", "house", "river", "stone", "paper", "cloud", "train"]
+    rows, labels = [], []
+    for i in range(600):
+        if i % 3 == 0:
+            v, ctx, y = "".join(rnd.choice("abcdef0123456789ABCDEFGHIJKLMNOP") for _ in range(32)), 'api_key = "{}"', 1
+        elif i % 3 == 1:
+            v, ctx, y = "_".join(rnd.choice(words) for _ in range(5)) + "1", 'title = "{}"', 0
+        else:
+            v, ctx, y = "your-secret-" + "x" * 10 + "9", 'api_key = "{}"', 0
+        head = " ".join(rnd.choice(words) for _ in range(5)) + " "
+        text = head + ctx.format(v) + " \U0001f600 " + rnd.choice(words)
+        rows.append((i, text, "src"))
+        labels.append((i, text.index(v), text.index(v) + len(v), y))
+    rows += [(700, None, "a"), (701, "", None), (None, 'password: "k3J9x8Qw7Zr5Tt2Lm4Vb"', None), (0, *rows[0][1:]),
+             (702, "a1" * 40000, "x"), (703, '"' * 5000 + "=" * 5000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS path", "2 AS label", "3 AS s")
+    told = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, s int, e int, label int")
+    out = secret_scan(df, labelled=told).collect()
+    by = {(r.doc_id, r.s, r.e): r.secret for r in out}
+    held = [x for x in labels if x[0] % 2 == 0]
+    right = sum(by.get(x[:3]) == bool(x[3]) for x in held)
+    assert right >= 0.97 * len(held)
+    assert sum(r.doc_id == 0 for r in out) == 2 and any(r.doc_id is None and r.secret for r in out)
+    assert secret_scan(df.limit(0)).count() == 0
+    weak = {(r.doc_id, r.s, r.e): r.secret for r in secret_scan(df).collect()}
+    assert sum(weak.get(x[:3]) == bool(x[3]) for x in labels) >= 0.95 * len(labels)
