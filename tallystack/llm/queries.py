@@ -141,3 +141,9 @@ def op2_license_scan(spark, sf):
 def op7_secret_forest(spark, sf):
     from tallystack.llm.secrets import secret_scan
     return secret_scan(read_table(spark, sf, "documents"))
+
+
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark, sf):
+    from tallystack.llm.suffixes import dedup
+    return dedup(read_table(spark, sf, "documents"), length=400)
