@@ -147,3 +147,9 @@ def op7_secret_forest(spark, sf):
 def op1_suffix_array_dedup(spark, sf):
     from tallystack.llm.suffixes import dedup
     return dedup(read_table(spark, sf, "documents"), length=400)
+
+
+@query("op4_suffix_tree_scores")
+def op4_suffix_tree_scores(spark, sf):
+    from tallystack.llm.suffixtree import lm_scores
+    return lm_scores(read_table(spark, sf, "documents"))
