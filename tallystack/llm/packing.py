@@ -95,37 +95,66 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> list[tuple[int,
 
 
 _STATE: dict = {}
-
-
-def _encode(path: str, end_id: int, size: int):
+GAP = "<|startoftext|>"
+
+
+def _learn(known: dict, tok, new):
+    """Ids (as bytes) of new words into ``known``. A full stop or comma after an ASCII
+    letter is a token sequence of its own, and case does not matter, so such
+    words share an encoding; the rest is encoded in long strings, words kept apart by a special
+    token that none of them holds."""
+    roots = {}
+    for w in new:
+        root = w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isascii() and w[-2:-1].isalpha() else w
+        roots[w] = root.lower() if root.isascii() and "<|" not in root else root
+    need = [r for r in set(roots.values()) if r not in known]
+    plain, other = [r for r in need if "<|" not in r], [r for r in need if "<|" in r]
+    gap = tok.token_to_id(GAP)
+    for i in range(0, len(plain), 2000):
+        part = plain[i:i + 2000]
+        ids = np.array(tok.encode(f" {GAP} ".join(part), add_special_tokens=False).ids, "<u4")
+        raw, cut = ids.tobytes(), (4 * np.flatnonzero(ids == gap)).tolist()
+        known.update(zip(part, [raw[p:q] for p, q in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)])]))
+    for r in [*other, ".", ","]:
+        known[r] = np.array(tok.encode(r, add_special_tokens=False).ids, "<u4").tobytes()
+    for w, r in roots.items():
+        if w not in known:
+            known[w] = known[r] + known[w[-1]] if len(w) > len(r) else known[r]
+    return known
+
+
+def _encode(path: str, end_id: int, size: int, limit: int = 1_000_000):
     """Tokenize in Arrow batches. The tokenizer drops white space and never
-    joins across it, so each distinct word is encoded once per worker."""
+    joins across it, so a worker encodes each distinct word once; it forgets
+    its words beyond ``limit`` of them (bounded memory, same result)."""
     def run(frames):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if _STATE.get("path") != path:
             from tokenizers import Tokenizer
             _STATE.update(path=path, tok=Tokenizer.from_file(path), ids={})
-        tok = _STATE["tok"]
+        tok, end = _STATE["tok"], np.array([end_id], "<u4").tobytes()
         for pdf in frames:
             cols = [[] for _ in range(5)]
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
+            for lo in range(0, len(texts), 500):
+                split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+                         for t in texts[lo:lo + 500]]
+                words = set().union(*split)
+                if len(_STATE["ids"]) > limit:
+                    _STATE["ids"].clear()
                 known = _STATE["ids"]
-                ws = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
-                new = [w for w in set(ws) if w not in known]
+                new = [w for w in words if w not in known]
                 if new:
-                    if len(known) > 400_000:          # bounded memory of a worker
-                        known.clear()
-                        new = list(set(ws))
-                    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                raw = b"".join([known[w] for w in ws]) + np.array([end_id], "<u4").tobytes()
-                n = len(raw) // 4
-                for p, start in enumerate(range(0, n, size)):
-                    part = raw[4 * start:4 * (start + size)]
-                    for c, v in zip(cols, (doc, p, start, len(part) // 4, zlib.crc32(part))):
-                        c.append(v)
-            yield pd.DataFrame({"doc_id": pd.array(cols[0], dtype="Int64"), "piece": np.array(cols[1], np.int32),
+                    _learn(known, tok, new)
+                for doc, ws in zip(ids[lo:lo + 500], split):
+                    raw = b"".join([known[w] for w in ws]) + end
+                    n = len(raw) // 4
+                    for p, start in enumerate(range(0, n, size)):
+                        part = raw[4 * start:4 * (start + size)]
+                        for c, v in zip(cols, (doc, p, start, len(part) // 4, zlib.crc32(part))):
+                            c.append(v)
+            yield pd.DataFrame({"doc_id": cols[0], "piece": np.array(cols[1], np.int32),
                                 "start": np.array(cols[2], np.int64), "length": np.array(cols[3], np.int64),
                                 "ids_crc32": np.array(cols[4], np.int64)})
     return run
@@ -147,8 +176,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
     prepare(spark)
-    made = two_columns(docs, id_col, text_col).mapInPandas(
-        _encode(tokenizer, end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = two_columns(docs, id_col, text_col, "string").mapInPandas(
+        _encode(tokenizer, end_id, size), "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
     made = written(made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
     counts = {(r.bucket, r.length): r.n for r in                     # at most buckets * size rows
               made.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n")).collect()}
