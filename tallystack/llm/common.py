@@ -26,10 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, name + ".parquet"))
 
 
-def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text, as ``doc_id`` (long) and ``text`` (null text
-    becomes empty): other columns, whatever their names, never clash."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"),
+def two_columns(df: DataFrame, id_col: str, text_col: str, kind: str = "long") -> DataFrame:
+    """Only the id and the text, as ``doc_id`` and ``text`` (null text becomes
+    empty): other columns, whatever their names, never clash. Ids that pass
+    through pandas go as strings (``kind``): a null among longs would turn
+    them into doubles, which hold no id above 2**53."""
+    return df.select(F.col(id_col).cast("long").cast(kind).alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

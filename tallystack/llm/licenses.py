@@ -193,8 +193,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in frames:
             rows = [(doc, *r) for doc, text in zip(pdf["doc_id"], pdf["text"]) for r in scan_text(text, index, percent)]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "n_words", "n_matched", "start", "end"])
-            out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")
             yield out
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return text.where("text <> ''").mapInPandas(
-        run, "doc_id long, license string, n_words long, n_matched long, start long, end long")
+        run, "doc_id string, license string, n_words long, n_matched long, start long, end long").withColumn(
+            "doc_id", F.col("doc_id").cast("long"))

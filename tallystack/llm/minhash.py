@@ -138,8 +138,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def small(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.limit(max_broadcast + 1).count() <= max_broadcast else ids
 
-    made = written(d.mapInPandas(_sketches(k, t, rows, bands), "doc_id long, n_shingles long, f1 long, f2 long, "
-                                 "bits array<long>, bands array<long>"), "sketch")
+    made = written(two_columns(docs, id_col, text_col, "string").mapInPandas(
+        _sketches(k, t, rows, bands), "doc_id string, n_shingles long, f1 long, f2 long, bits array<long>, bands array<long>")
+        .withColumn("doc_id", F.col("doc_id").cast("long")), "sketch")
     same = ["n_shingles", "f1", "f2"]
     least = written(made.where("n_shingles > 0 and doc_id is not null")
                     .groupBy(*same).agg(F.min("doc_id").alias("rep")), "least")

@@ -221,7 +221,7 @@ def _cut(length):
                 h.update(raw[at:])
                 for c, v in zip((n_bytes, n_removed, n_spans, sha), (len(raw), removed, runs, h.hexdigest())):
                     c.append(v)
-            yield pd.DataFrame({"doc_id": pd.array(pdf["doc_id"], dtype="Int64"), "n_bytes": n_bytes, "n_removed": n_removed,
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": n_bytes, "n_removed": n_removed,
                                 "n_spans": n_spans, "kept_sha256": sha})
     return run
 
@@ -281,4 +281,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     spans = repeated_spans(d.where(F.octet_length("text") >= length), length, gram, max_broadcast=max_broadcast, **options)
     few = spans.limit(max_broadcast + 1).count() <= max_broadcast
     return (d.join(F.broadcast(spans) if few else spans, "rk", "left").select("doc_id", "text", "spans")
-            .mapInPandas(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            .withColumn("doc_id", F.col("doc_id").cast("string"))
+            .mapInPandas(_cut(length), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            .withColumn("doc_id", F.col("doc_id").cast("long")))

@@ -47,8 +47,8 @@ def test_chains_hot_groups_and_odd_rows(spark):
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0
-    got = minhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (7, "a b c")], "doc_id long, text string"))
-    assert {(r.doc_id, r.component_id, r.kept) for r in got.collect()} == {(None, 7, True), (7, 7, True)}
+    got = minhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (7, "a b c"), (2**62 + 1, "other")], "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id, r.kept) for r in got.collect()} == {(None, 7, True), (7, 7, True), (2**62 + 1, 2**62 + 1, True)}
 
 
 def test_sketch_estimates_similarity():

@@ -80,7 +80,7 @@ def test_query_against_tokenizer_and_plain_packing(spark):
 
 def test_odd_texts(spark):
     texts = [(0, None), (1, ""), (2, " \t\r\n"), (3, "a\xa0b c <|endoftext|> d<|startoftext|>e I'll"), (4, "x" * 9000),
-             (5, "Ünï ﬁ é ́a ΑΣ ß İ\x1c\x85 z"), (6, "w " * 9000), (6, "w " * 9000), (None, "null id"), (7, "\U0001f600 !!!? 123")]
+             (5, "Ünï ﬁ é ́a ΑΣ ß İ\x1c\x85 z"), (6, "w " * 9000), (6, "w " * 9000), (None, "null id"), (7, "\U0001f600 !!!? 123"), (2**62 + 1, "big id, THE. end,.")]
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS length", "2 AS slots", "3 AS r")
     check(packing.pack(df, size=64, buckets=3).collect(), texts, 64)
     assert packing.pack(df.limit(0)).count() == 0

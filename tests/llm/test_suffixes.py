@@ -44,7 +44,7 @@ def test_made_cases(spark, max_group):
         w[rnd.randrange(len(w))] = "changed"
         rows.append((100 + i, " ".join(w)))
     rows += [(200, "a" * 300), (201, "ab" * 200), (202, "a" * 39), (203, None), (204, ""), (205, base), (205, base), (None, base),
-             (206, passage * 3), (207, "a" * 40), (208, "z" * 41)]
+             (206, passage * 3), (207, "a" * 40), (208, "z" * 41), (2**62 + 1, base + "!")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rk", "2 AS spans", "3 AS anchor")
     got = suffixes.dedup(df, length=40, gram=20, max_group=max_group, batch_rows=64).collect()
     assert collections.Counter(map(tuple, got)) == brute(rows, 40)
