@@ -3,119 +3,75 @@
 A window with ``orderBy`` but no ``partitionBy`` moves every row into one
 task. Instead:
 
-1. One pass of ``approxQuantile`` over (score, id) gives bucket boundaries.
-   A score value that covers more than one quantile step is heavy; it gets a
-   bucket holding only that value, and that bucket is split further by id
-   boundaries (valid because inside one score value the order is by id).
-   A score value holding a third of all rows is therefore spread over many
-   tasks.
-2. Rows and sums per bucket form a table whose size is bounded by the
-   number of buckets (not by the data); its prefix sums are broadcast.
+1. Rows are range-partitioned on the complete order (score, then every tie
+   column, of any orderable type). Spark samples the boundaries; they are
+   compared on all order columns, so a score that a third of all rows share is
+   split by its ties, and text or 64-bit ids keep their exact order. The
+   partition number is the bucket; the result is written once to the shared
+   folder, so that every later use sees the same buckets.
+2. Rows and sums per bucket form a table with one row per bucket, whatever
+   the data; its prefix sums are broadcast.
 3. A window partitioned by bucket adds the in-bucket running values.
 
-The total order is (score desc|asc, id asc); nulls in the score sort last.
+The total order is (score desc|asc, ties asc); null and NaN scores sort last.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _splits(qs):
-    """Sorted unique boundaries; heavy values get a one-value bucket."""
-    uniq, heavy = [], set()
-    for q in qs:
-        if q is None or (isinstance(q, float) and math.isnan(q)):
-            continue
-        if uniq and q == uniq[-1]:
-            heavy.add(q)
-        elif not uniq or q > uniq[-1]:
-            uniq.append(q)
-    splits = [-math.inf]
-    for v in uniq:
-        if v > splits[-1]:
-            splits.append(v)
-        if v in heavy:
-            splits.append(math.nextafter(v, math.inf))
-    splits.append(math.inf)
-    if len(splits) < 3:                # no quantiles (empty or all-null input)
-        splits = [-math.inf, 0.0, math.inf]
-    points = [i for i in range(len(splits) - 1)
-              if splits[i] in heavy and splits[i + 1] == math.nextafter(splits[i], math.inf)]
-    return splits, points
+from tallystack.session import shared_dir
 
 
-def ordered_prefix(df: DataFrame, score: str, tiebreak, descending: bool = True,
-                   sums: dict | None = None, n_buckets: int | None = None,
-                   rank_col: str = "rank", total_col: str | None = "n_total",
-                   keep_helpers: bool = False) -> DataFrame:
-    """Add ``rank_col`` (1-based position in the global order) and, for each
-    ``name: expr`` in ``sums``, the running (inclusive) sum in that order.
-    ``total_col`` / ``<name>_total`` carry the grand totals.
-
-    ``score`` must be numeric; ``tiebreak`` is a column name or a list of
-    them (ascending, the first numeric) that makes the order total."""
-    sums = sums or {}
-    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    tiebreak = ties[0]
+def _positions(df: DataFrame, order: list, sums: dict, rank_col: str, total_col: str | None,
+               n_buckets: int | None) -> DataFrame:
     spark = df.sparkSession
-    if n_buckets is None:
-        n_buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    rel = 1.0 / (4 * n_buckets)
-
-    # null -> NaN: the bucketizer keeps NaN in its extra (last) bucket, while
-    # a null bucket key would not match the offsets join
-    nan = F.lit(float("nan"))
-    base = df.withColumn("_os", F.coalesce(F.col(score).cast("double"), nan)) \
-             .withColumn("_ot", F.coalesce(F.col(tiebreak).cast("double"), nan))
-    q_score, q_id = base.approxQuantile(["_os", "_ot"], probs, rel)
-    s_splits, points = _splits(q_score)
-    i_splits, _ = _splits(q_id)
-
-    keyed = Bucketizer(splits=s_splits, inputCol="_os", outputCol="_b0",
-                       handleInvalid="keep").transform(base)
-    keyed = Bucketizer(splits=i_splits, inputCol="_ot", outputCol="_s0",
-                       handleInvalid="keep").transform(keyed)
-    n_s = len(s_splits) - 1          # index of the "invalid" (null/NaN) bucket
-    b = F.col("_b0").cast("int")
-    # bucket order key: ascending position in the requested order, nulls last
-    order_b = F.when(b == n_s, F.lit(n_s)).otherwise((n_s - 1) - b if descending else b)
-    sub = F.when(F.col("_b0").cast("int").isin(points) if points else F.lit(False),
-                 F.col("_s0").cast("int")).otherwise(F.lit(0))
-    keyed = keyed.withColumn("_b", order_b).withColumn("_sb", sub).drop("_b0", "_s0")
-
-    aggs = [F.count(F.lit(1)).alias("_bn")] + [
-        F.sum(expr).alias(f"_bs_{k}") for k, expr in sums.items()]
-    stats = keyed.groupBy("_b", "_sb").agg(*aggs)
-    # bounded: at most (buckets + 1) * (id buckets + 1) rows
-    w_prev = Window.orderBy("_b", "_sb").rowsBetween(Window.unboundedPreceding, -1)
+    n = n_buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = shared_dir(spark, "ordered")
+    (df.repartitionByRange(n, *order).withColumn("_b", F.spark_partition_id())).write.parquet(path)
+    keyed = spark.read.parquet(path)
+
+    stats = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"),
+                                    *[F.sum(expr).alias(f"_bs_{k}") for k, expr in sums.items()])
+    # bounded: one row per bucket
+    w_prev = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy()
     offs = [F.coalesce(F.sum("_bn").over(w_prev), F.lit(0)).alias("_off_n")]
     offs += [F.coalesce(F.sum(f"_bs_{k}").over(w_prev), F.lit(0)).alias(f"_off_{k}") for k in sums]
     if total_col:
         offs.append(F.sum("_bn").over(w_all).alias(total_col))
     offs += [F.sum(f"_bs_{k}").over(w_all).alias(f"{k}_total") for k in sums]
-    offsets = stats.select("_b", "_sb", *offs)
+    offsets = stats.select("_b", *offs)
 
-    order_s = F.col("_os").desc_nulls_last() if descending else F.col("_os").asc_nulls_last()
-    w_in = Window.partitionBy("_b", "_sb").orderBy(order_s, F.col("_ot").asc(),
-                                                    *[F.col(t).asc() for t in ties[1:]])
+    w_in = Window.partitionBy("_b").orderBy(*order)
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.join(F.broadcast(offsets), ["_b", "_sb"])
+    out = keyed.join(F.broadcast(offsets), "_b")
     out = out.withColumn(rank_col, F.col("_off_n") + F.row_number().over(w_in))
     for k, expr in sums.items():
         out = out.withColumn(k, F.col(f"_off_{k}") + F.sum(expr).over(w_run))
-    helpers = ["_os", "_ot", "_off_n"] + [f"_off_{k}" for k in sums]
-    if not keep_helpers:
-        out = out.drop("_b", "_sb", *helpers)
-    else:
-        out = out.drop(*helpers)
-    return out
+    return out.drop("_b", "_off_n", *[f"_off_{k}" for k in sums])
+
+
+def _score_order(df: DataFrame, score: str, descending: bool) -> list:
+    c = F.col(score)
+    if dict(df.dtypes)[score] in ("double", "float"):
+        c = F.when(F.isnan(c), None).otherwise(c)
+    return [c.desc_nulls_last() if descending else c.asc_nulls_last()]
+
+
+def ordered_prefix(df: DataFrame, score: str, tiebreak, descending: bool = True,
+                   sums: dict | None = None, n_buckets: int | None = None,
+                   rank_col: str = "rank", total_col: str | None = "n_total") -> DataFrame:
+    """Add ``rank_col`` (1-based position in the global order) and, for each
+    ``name: expr`` in ``sums``, the running (inclusive) sum in that order.
+    ``total_col`` / ``<name>_total`` carry the grand totals.
+
+    ``tiebreak`` is a column name or a list of them (ascending, of any
+    orderable type) that makes the order total."""
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    order = _score_order(df, score, descending) + [F.col(t).asc_nulls_last() for t in ties]
+    return _positions(df, order, sums or {}, rank_col, total_col, n_buckets)
 
 
 def grouped_prefix(df: DataFrame, group: str, value: str, ties=(), descending: bool = False,
@@ -123,23 +79,19 @@ def grouped_prefix(df: DataFrame, group: str, value: str, ties=(), descending: b
     """``ordered_prefix`` inside each group of a small integer column
     ``group`` (e.g. a feature or model index), in one ordered pass for all
     groups: the order is (group, value, *ties); ranks and running sums
-    restart in each group. Values are rescaled per group to [0, 1] (a
-    monotone map) so that the shared value buckets stay balanced across
-    groups whose values live on different scales. Adds ``rank_col``, the
-    running sums and ``<name>_total`` / ``n_group`` per group."""
+    restart in each group. Adds ``rank_col``, the running sums and
+    ``<name>_total`` / ``n_group`` per group."""
     sums = sums or {}
-    rng = df.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                F.count(F.lit(1)).alias("_gn"),
-                                *[F.sum(e).alias(f"_gt_{k}") for k, e in sums.items()]).collect()
-    # one row per group: offsets of the earlier groups and the rescaling
-    rng = sorted(rng, key=lambda r: r[group])
+    order = [F.col(group).asc(), *_score_order(df, value, descending), *[F.col(t).asc_nulls_last() for t in ties]]
+    o = _positions(df, order, sums, "_grank", None, None)
+    # one row per group: totals and the offsets of the earlier groups
+    totals = sorted(df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"),
+                                          *[F.sum(e).alias(f"_gt_{k}") for k, e in sums.items()]).collect(),
+                    key=lambda r: r[group])
     acc_n, acc = 0, {k: 0 for k in sums}
-    lo_m, span_m, off_n, off_s, tot_n, tot_s = {}, {}, {}, {k: {} for k in sums}, {}, {k: {} for k in sums}
-    for r in rng:
+    off_n, off_s, tot_n, tot_s = {}, {k: {} for k in sums}, {}, {k: {} for k in sums}
+    for r in totals:
         g = r[group]
-        lo_m[g] = float(r["_lo"]) if r["_lo"] is not None else 0.0
-        span = (float(r["_hi"]) - lo_m[g]) if r["_hi"] is not None else 0.0
-        span_m[g] = span if span > 0 else 1.0
         off_n[g], tot_n[g] = acc_n, r["_gn"]
         acc_n += r["_gn"]
         for k in sums:
@@ -148,17 +100,11 @@ def grouped_prefix(df: DataFrame, group: str, value: str, ties=(), descending: b
 
     def lookup(m):
         return F.create_map(*[x for key, v in m.items() for x in (F.lit(key), F.lit(v))])[F.col(group)]
-    v = F.col(value).cast("double")
-    u = (v - lookup(lo_m)) / lookup(span_m)
-    if descending:
-        u, v = 1.0 - u, -v
-    # the rescaled value only steers bucketing; rounding can merge distinct
-    # values in it, so the exact (signed) value orders next
-    keyed = df.withColumn("_gs", F.col(group).cast("double")).withColumn("_gu", u).withColumn("_gv", v)
-    o = ordered_prefix(keyed, "_gs", ["_gu", "_gv", *ties], descending=False, sums=sums, rank_col="_grank",
-                       total_col=None)
+    if not totals:
+        off_n = tot_n = {0: 0}
+        off_s = tot_s = {k: {0: 0} for k in sums}
     o = o.withColumn(rank_col, F.col("_grank") - lookup(off_n)).withColumn("n_group", lookup(tot_n))
     for k in sums:
         o = (o.withColumn(k, F.col(k) - lookup(off_s[k]))
               .withColumn(f"{k}_total", lookup(tot_s[k])))
-    return o.drop("_gs", "_gu", "_gv", "_grank")
+    return o.drop("_grank")
