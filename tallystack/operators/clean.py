@@ -162,18 +162,17 @@ def is_correct(df: DataFrame, pred: str, obs: str, name: str = "correct") -> Dat
 
 def levels_of(df: DataFrame, col: str, ref=None) -> DataFrame:
     """Level table (level, idx): distinct non-null values in ascending text
-    order, or with ``ref`` moved to index 0 (relevel). The table is small by
-    nature (categories); ranking it needs no global window over the data."""
+    order, or with ``ref`` moved to index 0 (relevel), ranked by the two-phase
+    order: no window over all levels."""
+    from tallystack.operators.ordered import ordered_prefix
     lv = df.select(F.col(col).alias("level")).where(F.col("level").isNotNull()).distinct()
-    key = F.col("level")
-    order = [F.when(key == F.lit(ref), 0).otherwise(1), key] if ref is not None else [key]
-    return lv.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    first = F.when(F.col("level") == F.lit(ref), 0).otherwise(1) if ref is not None else F.lit(1)
+    o = ordered_prefix(lv.withColumn("_first", first), "_first", "level", descending=False, rank_col="_idx", total_col=None)
+    return o.select("level", (F.col("_idx") - 1).cast("int").alias("idx"))
 
 
-def level_list(df: DataFrame, col: str, ref=None, max_levels: int = 10_000):
-    """Levels as a Python list (for building dummy columns); refuses a
-    column with more than ``max_levels`` distinct values."""
-    rows = levels_of(df, col, ref).limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col}: more than {max_levels} levels; not a categorical column")
+def level_list(df: DataFrame, col: str, ref=None):
+    """Levels as a Python list, one per dummy column to build. Factors too
+    wide for columns go to ``prep.assemble_vector`` (sparse vectors)."""
+    rows = levels_of(df, col, ref).collect()
     return [r["level"] for r in sorted(rows, key=lambda r: r["idx"])]

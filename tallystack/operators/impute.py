@@ -4,7 +4,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +14,22 @@ def _replicate(df: DataFrame, m: int) -> DataFrame:
     return df.withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(m))))
 
 
-def marginal_table(df: DataFrame, col: str, max_levels: int = 100_000):
-    """Cumulative share table of the observed values of a categorical column,
-    as Python lists (values, upper bounds). Bounded by ``max_levels``."""
-    freq = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    rows = freq.orderBy(col).limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col}: too many levels for a marginal draw")
-    total = sum(r["n"] for r in rows)
-    vals, bounds, acc = [], [], 0
-    for r in rows:
-        acc += r["n"]
-        vals.append(r[col])
-        bounds.append(acc / total)
-    return vals, bounds
+GRID = 1024
+
+
+def marginal_table(df: DataFrame, col: str) -> DataFrame:
+    """(cell, lo, hi, value): cumulative shares [lo, hi) of the observed
+    values of a column in ascending order, repeated for each of ``GRID`` equal
+    cells of [0, 1) that the range touches, so that a draw finds its value by
+    an equi-join on its cell. At most levels + GRID rows; no limit on levels."""
+    from tallystack.operators.ordered import ordered_prefix
+    freq = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    o = ordered_prefix(freq.withColumn("_one", F.lit(1)), "_one", "value", descending=False, sums={"_cum": F.col("n")},
+                       rank_col="_r", total_col=None)
+    last = F.col("_cum") == F.col("_cum_total")
+    lo, hi = (F.col("_cum") - F.col("n")) / F.col("_cum_total"), F.when(last, F.lit(2.0)).otherwise(F.col("_cum") / F.col("_cum_total"))
+    cell = F.explode(F.sequence(F.floor(lo * GRID).cast("int"), F.least(F.floor(hi * GRID).cast("int"), F.lit(GRID - 1))))
+    return o.select(cell.alias("cell"), lo.alias("lo"), hi.alias("hi"), "value")
 
 
 def impute_marginal(df: DataFrame, cols, key: str, m: int = 5, seed: int = 500,
@@ -39,19 +40,13 @@ def impute_marginal(df: DataFrame, cols, key: str, m: int = 5, seed: int = 500,
     never change. Returns m copies (column ``imp``)."""
     out = _replicate(df, m) if replicate else df
     for c in cols:
-        vals, bounds = marginal_table(df, c)
-        if not vals:
-            continue
-        if len(vals) == 1:                 # one observed level: the draw is that level
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(vals[0]).cast(df.schema[c].dataType)))
-            continue
-        splits = [0.0] + bounds[:-1] + [float("inf")]
-        # bucket i covers [bound_{i-1}, bound_i): a binary search on the JVM
-        out = out.withColumn(f"_u_{c}", hash_uniform(seed, F.col("imp"), F.lit(c), key))
-        out = Bucketizer(splits=splits, inputCol=f"_u_{c}", outputCol=f"_b_{c}").transform(out)
-        pick = F.array(*[F.lit(v) for v in vals])[F.col(f"_b_{c}").cast("int")]
-        out = out.withColumn(c, F.coalesce(F.col(c), pick.cast(df.schema[c].dataType))) \
-                 .drop(f"_u_{c}", f"_b_{c}")
+        t = marginal_table(df, c)
+        names = out.columns
+        # only missing cells look for a draw; observed ones keep a null cell and match nothing
+        u = F.when(F.col(c).isNull(), hash_uniform(seed, F.col("imp"), F.lit(c), key))
+        out = out.withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * GRID).cast("int"))
+        out = out.join(t, (F.col("_cell") == F.col("cell")) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")), "left")
+        out = out.withColumn(c, F.coalesce(F.col(c), F.col("value").cast(df.schema[c].dataType))).select(*names)
     return out
 
 

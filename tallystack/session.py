@@ -85,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tallystack-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -117,14 +119,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     The check reads at most ``max_rows + 1`` rows."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def parallel_map(fn, items, max_workers: int = 8):
-    """Run independent Spark jobs (one per item) from a few driver threads;
-    Spark schedules concurrent jobs on the same executors. Order is kept."""
-    items = list(items)
-    if len(items) <= 1:
-        return [fn(x) for x in items]
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=min(max_workers, len(items))) as ex:
-        return list(ex.map(fn, items))
