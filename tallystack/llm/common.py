@@ -13,13 +13,17 @@ from tallystack.session import ensure_checkpoint_dir, shared_dir, ship_package
 #: separators of words (space, tab, newline, vertical tab, form feed, return)
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-WORD_CLASS = r"[^\x20\x09-\x0D]"
+ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package to the executors and settle the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    # whole texts pass through Arrow batches: fewer rows each, less memory per Python worker
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ARROW_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, ARROW_ROWS)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,8 +11,13 @@ a band are candidates, and candidates are confirmed on their full sets.
 Copies (equal sets) collapse to one representative before banding. Inside a
 band bucket no pair list is built: every member is compared with one hub of
 the bucket (star), confirmed links contract into components, and only buckets
-that still hold several components go on. bucket
-of thousands of near copies therefore costs as many comparisons as members.
+that still hold several components go on. In later rounds a block of hubs is
+taken per bucket, members of small components first, until every bucket holds
+one component or all of its members have been hubs: no link is lost, and a
+bucket of thousands of near copies costs little more comparisons than
+members. Before texts are fetched, four bits of every coordinate tell pairs
+that are far from the limit (a pair at the limit fails this with probability
+1e-7).
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from tallystack.llm import arrays as A
 from tallystack.llm.common import connected_components, prepare, two_columns, written
 
 T, ROWS, BANDS = 256, 4, 32      # 32 bands of 4: a pair at similarity 0.8 is missed with probability 5e-8
-SIGMAS = 6.2                     # one bit of each coordinate: a pair at the limit fails the pre-check at this distance
+SIGMAS = 5.2                     # four bits of each coordinate: a pair at the limit fails the pre-check at this distance
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +80,8 @@ def _sketches(k: int, t: int, rows: int, bands: int):
                     at = np.concatenate([[0], np.cumsum(n)])
                     f1, f2 = p1[at[1:]] - p1[at[:-1]], p2[at[1:]] - p2[at[:-1]]
                     sk = sketch(g, d, j - i, t)
-                    bits = np.packbits((A.mix(sk) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                    four = (A.mix(sk) & np.uint64(15)).astype(np.uint8)
+                    bits = (four[:, ::2] << 4 | four[:, 1::2]).view(np.int64)
                     sk = sk[:, :bands * rows].reshape(j - i, bands, rows)
                     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (j - i, bands)).copy()
                     for r in range(rows):
@@ -116,7 +122,7 @@ def _confirm(k: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    percent: int = 80, t: int = T, rows: int = ROWS, bands: int = BANDS, hubs: int = 256,
+                    percent: int = 80, t: int = T, rows: int = ROWS, bands: int = BANDS, hubs: int = 64,
                     max_broadcast: int = 2_000_000) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id, kept).
 
@@ -156,12 +162,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(members.join(size, "id"), "members")
     text = written(d.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    # equal bits of two sketches: (1 + similarity) / 2 of them, give or take
-    p = (1 + percent / 100) / 2
+    # equal groups of four bits: similarity + (1 - similarity) / 16 of them, give or take
+    p = percent / 100 + (1 - percent / 100) / 16
     differ = int(t * (1 - p) + SIGMAS * (t * p * (1 - p)) ** 0.5)
 
     def plausible(a: str, b: str):
-        apart = sum(F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(t // 64))
+        apart = F.expr("aggregate(zip_with({0}.bits, {1}.bits, (p, q) -> p ^ q), 0, (n, x) -> n + bit_count("
+                       "(x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2) | shiftrightunsigned(x, 3)) & 1229782938247303441L))".format(a, b))
         sizes = [F.col(f"{x}.n_shingles") for x in (a, b)]
         return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (apart <= differ)
 
