@@ -53,10 +53,6 @@ def model_rf(spec, train, evaluate, id_col, mtry=9, n_trees=100, seed=1, **param
     return fit_score(est, spec, train, evaluate, id_col)
 
 
-BOOST_DEFAULTS = dict(rounds=73, depth=3, eta=0.243378, colsample=0.6703593, min_child=4,
-                      subsample=0.9718927)
-
-
 def boosting_estimator(rounds=73, depth=3, eta=0.243378, colsample=0.6703593, min_child=4,
                        subsample=0.9718927, seed=12345):
     """First-order gradient boosting on logistic loss; the column share is
@@ -67,9 +63,7 @@ def boosting_estimator(rounds=73, depth=3, eta=0.243378, colsample=0.6703593, mi
 
 
 def model_boosting(spec, train, evaluate, id_col, seed=12345, **params):
-    p = dict(BOOST_DEFAULTS)
-    p.update(params)
-    return fit_score(boosting_estimator(seed=seed, **p), spec, train, evaluate, id_col)
+    return fit_score(boosting_estimator(seed=seed, **params), spec, train, evaluate, id_col)
 
 
 def _n_features(spec: FeatureSpec, train: DataFrame) -> int:

@@ -160,10 +160,10 @@ CATEGORICAL_VARS = ("free_wifi", "has_tv", "caters", "alcohol", "noise_level", "
                     "WE", "Quarter")
 
 
-def training_tables(facts: DataFrame, key: str = "id", frac: float = 0.75, seed: int = 66):
+def training_tables(facts: DataFrame, key: str = "id", frac: float = 0.75, seed: int = 66, optional=("stars_review",)):
     """Label text ('ch_in' for >= 1 check-ins, 'Noch_in' for 0), a row key,
-    the exact 75 / 25 hash split, the feature description (variables present
-    in ``facts``; categorical ones as text) and the threshold = share of
+    the exact 75 / 25 hash split, the feature description (a missing variable
+    is an error unless it is named in ``optional``; categorical ones as text) and the threshold = share of
     check-ins in the training table. Returns (train, evaluate, spec,
     threshold)."""
     from tallystack.operators import prep
@@ -171,6 +171,9 @@ def training_tables(facts: DataFrame, key: str = "id", frac: float = 0.75, seed:
     t = t.withColumn("ch_in", F.when(F.col("ch_in") >= 1, 1).when(F.col("ch_in") == 0, 0))
     if key not in t.columns:
         t = t.withColumn(key, F.xxhash64("business_id", F.col("date").cast("string")))
+    missing = [v for v in MODEL_VARS if v not in t.columns and v not in optional]
+    if missing:
+        raise ValueError(f"model variables missing from the facts: {missing}")
     present = [v for v in MODEL_VARS if v in t.columns]
     cat = [v for v in CATEGORICAL_VARS if v in present]
     t = t.withColumns({c: F.col(c).cast("string") for c in cat})

@@ -43,10 +43,15 @@ _MEMO: dict = {}
 
 
 def _memo(kind, spark, sf, build):
-    """One value per (application, data folder): the checkpointed split and
-    the fitted boosted model are shared by the queries of one session."""
+    """One value per application, data folder and content of its tables (row
+    count and hash): the checkpointed split and the fitted boosted model are
+    shared by the queries of one session and made anew when the data change."""
     from tallystack.session import app_id
-    key = (kind, app_id(spark), sf)
+    content = []
+    for name in ("lineitem", "orders", "supplier"):
+        t = T(spark, sf, name)
+        content.append(tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*t.columns))).first()))
+    key = (kind, app_id(spark), sf, *content)
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
@@ -102,7 +107,7 @@ def model_boosting(spark, sf):
 @query("model_rf")
 def model_rf(spark, sf):
     tr, ev = split(spark, sf)
-    return _scored(ml.model_rf(SPEC, tr, ev, "id", mtry=3))
+    return _scored(ml.model_rf(SPEC, tr, ev, "id", mtry=9))
 
 
 @query("model_svm_rbf")
@@ -302,7 +307,7 @@ def model_comparison(spark, sf):
         "tree": lambda: ml.model_tree(SPEC, tr, ev, "id")[0],
         "bagging": lambda: ml.model_bagging(SPEC, tr, ev, "id")[0],
         "boosting": lambda: ml.model_boosting(SPEC, tr, ev, "id")[0],
-        "rf": lambda: ml.model_rf(SPEC, tr, ev, "id", mtry=3)[0],
+        "rf": lambda: ml.model_rf(SPEC, tr, ev, "id", mtry=9)[0],
     }
     from tallystack.session import checkpoint
     scored, secs = {}, {}

@@ -122,15 +122,15 @@ def join_full(spark, sf):
     return relate.outer_chain(parts, ["key"])
 
 
-@query("join_suffix", """SELECT c.c_custkey, s.s_suppkey, c.c_nationkey AS nation,
-  c.c_name AS name_x, s.s_name AS name_y, c.c_acctbal AS acctbal_x, s.s_acctbal AS acctbal_y
-FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey""")
+@query("join_suffix", """SELECT c.c_custkey, c.c_nationkey AS nation,
+  c.c_name AS name_x, n.n_name AS name_y, c.c_custkey % 7 AS region_x, n.n_regionkey AS region_y
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""")
 def join_suffix(spark, sf):
     c = T(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"),
-                                        F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
-    s = T(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"),
-                                        F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
-    return join_on(c, s, ["nation"], "inner")
+                                        F.col("c_name").alias("name"), (F.col("c_custkey") % 7).alias("region"))
+    n = T(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"),
+                                      F.col("n_regionkey").alias("region"))
+    return join_on(c, n, ["nation"], "inner")
 
 
 # ------------------------------------------------------------------ star
