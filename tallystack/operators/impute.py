@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,23 +92,63 @@ def pmm_draw(scored: DataFrame, target: str, pred: str, missing: str, key: str,
     return scored.join(chosen, ["imp", key], "left")
 
 
+def _sweep(own: DataFrame, t: str, preds, cat_cols, missing: str, u, keep, numeric_method: str) -> DataFrame:
+    """One copy: the model of ``t`` fitted on the rows where it was observed,
+    and a draw ``_draw`` for every row (``_draw_mean`` for predictive mean
+    matching)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import LinearRegression
+    stages, vcols = [], []
+    for p in preds:
+        if p in cat_cols:
+            stages += [StringIndexer(inputCol=p, outputCol=f"_{p}_i", handleInvalid="keep", stringOrderType="alphabetAsc"),
+                       OneHotEncoder(inputCol=f"_{p}_i", outputCol=f"_{p}_v")]
+            vcols.append(f"_{p}_v")
+        else:
+            vcols.append(p)
+    stages.append(VectorAssembler(inputCols=vcols, outputCol="_x", handleInvalid="keep"))
+    observed = own.filter(~F.col(missing))
+    if t in cat_cols:
+        stages = [StringIndexer(inputCol=t, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")] + stages
+        stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1e-4, maxIter=50))
+        model = Pipeline(stages=stages).fit(observed)
+        labels = model.stages[0].labels
+        pr = vector_to_array(F.col("probability"))
+        # first class whose cumulative probability exceeds u
+        acc, choice = F.lit(0.0), None
+        for i, lab in enumerate(labels[:-1]):
+            acc = acc + pr[i]
+            choice = F.when(F.col("_u") < acc, F.lit(lab)) if choice is None else choice.when(F.col("_u") < acc, F.lit(lab))
+        choice = F.lit(labels[-1]) if choice is None else choice.otherwise(F.lit(labels[-1]))
+        return model.transform(own).withColumn("_u", u).withColumn("_draw", choice).select(*keep, "_draw")
+    stages.append(LinearRegression(featuresCol="_x", labelCol=t, regParam=1e-6))
+    model = Pipeline(stages=stages).fit(observed)
+    scored = model.transform(own)
+    if numeric_method == "pmm":
+        return scored.select(*keep, F.col("prediction").alias("_draw_mean"))
+    # one of the observed residuals, all of them equally likely
+    table = marginal_table(model.transform(observed).select((F.col(t) - F.col("prediction")).alias("r")), "r")
+    scored = scored.withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * GRID).cast("int"))
+    scored = scored.join(table, (F.col("_cell") == F.col("cell")) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")), "left")
+    return scored.withColumn("_draw", F.col("prediction") + F.col("value")).select(*keep, "_draw")
+
+
 def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: int = 5,
                    seed: int = 500, categorical=(), checkpoint_every: int = 1,
                    numeric_method: str = "residual", donors: int = 5) -> DataFrame:
     """Chained equations. ``mask`` = {target: [predictors]}; columns with
     missing cells that are not a target with predictors get marginal draws
-    first. Each sweep refits every target on its currently completed
+    first. The m copies are chains of their own: each sweep refits every target per copy on its currently completed
     predictors using rows where the target was observed, then redraws the
     originally missing cells: categorical targets from the multinomial
     logistic probabilities, numeric targets as linear prediction plus a
-    drawn training residual quantile (``numeric_method='residual'``) or by
+    one of the observed residuals (``numeric_method='residual'``) or by
     predictive mean matching (``'pmm'``: the observed value of one of the
     ``donors`` rows with the closest predictions). Lineage is cut with reliable
     checkpoints every ``checkpoint_every`` sweeps."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
     from tallystack.session import checkpoint
 
     categorical = set(categorical)
@@ -121,63 +163,26 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
     cols_with_na = [c for c in df.columns if c != key]
     orig_missing = {t: f"_miss_{t}" for t in targets}
     work = df.withColumns({v: F.col(t).isNull() for t, v in orig_missing.items()})
-    # start: every column completed by marginal draws (numeric: observed mean)
+    # start: every column completed by draws from its observed values
     cat_cols = [c for c in cols_with_na if c in categorical or dict(df.dtypes)[c] == "string"]
-    num_cols = [c for c in cols_with_na if c not in cat_cols]
-    work = impute_marginal(work, cat_cols, key, m, seed)
-    means = df.agg(*[F.avg(c).alias(c) for c in num_cols]).first() if num_cols else {}
-    work = work.withColumns({c: F.coalesce(F.col(c), F.lit(means[c]).cast(dict(df.dtypes)[c]))
-                             for c in num_cols if means[c] is not None})
-    for sweep in range(1, max_iter + 1):
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols_with_na]).first() if cols_with_na else {}
+    work = impute_marginal(work, [c for c in cols_with_na if counts[c]], key, m, seed)
+    # when no target explains another, the predictors never change again: every sweep
+    # draws from the same models, and the last one is the result of all
+    chained = any(p in targets for t in targets for p in mask[t])
+    for sweep in range(1, max_iter + 1) if chained else [max_iter]:
         for t in targets:
-            preds = mask[t]
-            stages, vcols = [], []
-            for p in preds:
-                if p in cat_cols:
-                    stages += [StringIndexer(inputCol=p, outputCol=f"_{p}_i", handleInvalid="keep",
-                                             stringOrderType="alphabetAsc"),
-                               OneHotEncoder(inputCol=f"_{p}_i", outputCol=f"_{p}_v")]
-                    vcols.append(f"_{p}_v")
-                else:
-                    vcols.append(p)
-            stages.append(VectorAssembler(inputCols=vcols, outputCol="_x", handleInvalid="keep"))
             u = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key)
-            observed = work.filter(~F.col(orig_missing[t]))
-            if t in cat_cols:
-                stages = [StringIndexer(inputCol=t, outputCol="_y", stringOrderType="alphabetAsc")] + stages
-                stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial",
-                                                 regParam=1e-4, maxIter=50))
-                model = Pipeline(stages=stages).fit(observed)
-                labels = model.stages[0].labels
-                scored = model.transform(work)
-                from pyspark.ml.functions import vector_to_array
-                pr = vector_to_array(F.col("probability"))
-                # first class whose cumulative probability exceeds u
-                acc = F.lit(0.0)
-                choice = None
-                for i, lab in enumerate(labels):
-                    acc = acc + pr[i]
-                    cond = F.col("_u") < acc
-                    choice = F.when(cond, F.lit(lab)) if choice is None else choice.when(cond, F.lit(lab))
-                choice = choice.otherwise(F.lit(labels[-1]))
-                scored = scored.withColumn("_u", u).withColumn("_draw", choice)
-            else:
-                stages.append(LinearRegression(featuresCol="_x", labelCol=t, regParam=1e-6))
-                model = Pipeline(stages=stages).fit(observed)
-                resid = model.transform(observed).select((F.col(t) - F.col("prediction")).alias("r"))
-                qs = resid.approxQuantile("r", [i / 100 for i in range(1, 100)], 0.001)
-                scored = model.transform(work).withColumn("_u", u)
-                if numeric_method == "pmm":
-                    base_cols = work.columns
-                    scored = pmm_draw(scored.select(*base_cols, "prediction"), t, "prediction",
-                                      orig_missing[t], key, f"{seed}:{sweep}", donors)
-                else:
-                    qarr = F.array(*[F.lit(q) for q in qs])
-                    idx = F.least(F.floor(F.col("_u") * len(qs)).cast("int"), F.lit(len(qs) - 1))
-                    scored = scored.withColumn("_draw", (F.col("prediction") + qarr[idx]).cast(dict(df.dtypes)[t]))
-            keep = [c for c in work.columns]
-            work = scored.withColumn(t, F.when(F.col(orig_missing[t]), F.col("_draw")).otherwise(F.col(t))) \
-                         .select(*keep)
+            work = checkpoint(work)
+            keep, parts = list(work.columns), []
+            for k in range(1, m + 1):                  # each copy is a chain with models of its own
+                own = work.filter(F.col("imp") == k)
+                parts.append(_sweep(own, t, mask[t], cat_cols, orig_missing[t], u, keep, numeric_method))
+            scored = functools.reduce(lambda x, y: x.unionByName(y), parts)
+            if t not in cat_cols and numeric_method == "pmm":
+                scored = pmm_draw(checkpoint(scored), t, "_draw_mean", orig_missing[t], key, f"{seed}:{sweep}", donors)
+            work = scored.withColumn(t, F.when(F.col(orig_missing[t]), F.col("_draw").cast(dict(df.dtypes)[t]))
+                                     .otherwise(F.col(t))).select(*keep)
         if checkpoint_every and sweep % checkpoint_every == 0:
             work = checkpoint(work)
     return work.drop(*orig_missing.values())

@@ -124,10 +124,10 @@ def complete_k(spark, sf):
 def impute_chained(spark, sf):
     """Chained equations on part with missing cells: p_size explained by
     type, brand and price (as the reference explains only one column by all
-    others); the rest get marginal draws. Two sweeps, m = 5."""
+    others); the rest get marginal draws. Fifty sweeps, m = 5."""
     p = pmiss(spark, sf, False).drop("p_name")
     return impute.impute_chained(p, {"p_size": ["p_type", "p_brand", "p_retailprice"]}, "p_partkey",
-                                 m=5, max_iter=2, seed=500)
+                                 m=5, max_iter=50, seed=500)
 
 
 @query("impute_chained_pmm")
@@ -136,4 +136,4 @@ def impute_chained_pmm(spark, sf):
     numeric target (5 donors)."""
     p = pmiss(spark, sf, False).drop("p_name")
     return impute.impute_chained(p, {"p_size": ["p_type", "p_brand", "p_retailprice"]}, "p_partkey",
-                                 m=5, max_iter=2, seed=500, numeric_method="pmm", donors=5)
+                                 m=5, max_iter=50, seed=500, numeric_method="pmm", donors=5)
