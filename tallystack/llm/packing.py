@@ -13,6 +13,7 @@ sums, so a length shared by a third of all pieces is spread over all buckets.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -95,31 +96,46 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> list[tuple[int,
 
 
 _STATE: dict = {}
-GAP = "<|startoftext|>"
 
 
-def _learn(known: dict, tok, new):
-    """Ids (as bytes) of new words into ``known``. A full stop or comma after an ASCII
-    letter is a token sequence of its own, and case does not matter, so such
-    words share an encoding; the rest is encoded in long strings, words kept apart by a special
-    token that none of them holds."""
-    roots = {}
+#: a word that is one run of Latin letters and then ASCII marks: two pre-tokens, normalised by lower case alone
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_letters() -> dict:
+    """The printable stand-ins of byte-level tokenizers: bytes that are
+    printable Latin-1 stand for themselves, the others follow from 256 on."""
+    out, n = {}, 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[b] = chr(b)
+        else:
+            out[b], n = chr(256 + n), n + 1
+    return out
+
+
+def _learn(known: dict, tok, new, table=_byte_letters()):
+    """Ids (as bytes) of new words into ``known``. Plain words go to the
+    tokenizer's model as their pre-tokens, each distinct one once; all others
+    through the whole tokenizer."""
+    model, other = tok.model, []
+
+    def ids(piece):
+        got = known.get(piece)
+        if got is None:
+            raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(table)
+            got = known[piece] = np.array([k.id for k in model.tokenize(raw)], "<u4").tobytes()
+        return got
     for w in new:
-        root = w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isascii() and w[-2:-1].isalpha() else w
-        roots[w] = root.lower() if root.isascii() and "<|" not in root else root
-    need = [r for r in set(roots.values()) if r not in known]
-    plain, other = [r for r in need if "<|" not in r], [r for r in need if "<|" in r]
-    gap = tok.token_to_id(GAP)
-    for i in range(0, len(plain), 2000):
-        part = plain[i:i + 2000]
-        ids = np.array(tok.encode(f" {GAP} ".join(part), add_special_tokens=False).ids, "<u4")
-        raw, cut = ids.tobytes(), (4 * np.flatnonzero(ids == gap)).tolist()
-        known.update(zip(part, [raw[p:q] for p, q in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)])]))
-    for r in [*other, ".", ","]:
-        known[r] = np.array(tok.encode(r, add_special_tokens=False).ids, "<u4").tobytes()
-    for w, r in roots.items():
-        if w not in known:
-            known[w] = known[r] + known[w[-1]] if len(w) > len(r) else known[r]
+        m = PLAIN(w)
+        if m is None:
+            other.append(w)
+        else:
+            known[w] = ids(m[1].lower()) + (ids(m[2]) if m[2] else b"")
+    for i in range(0, len(other), 1000):
+        part = other[i:i + 1000]
+        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
     return known
 
 

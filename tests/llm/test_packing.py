@@ -84,3 +84,15 @@ def test_odd_texts(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS length", "2 AS slots", "3 AS r")
     check(packing.pack(df, size=64, buckets=3).collect(), texts, 64)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_words_encode_as_the_whole_tokenizer_does():
+    rnd = random.Random(7)
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    marks, letters = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "abcXYZéÀßÿñçöÖØ"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) + "".join(rnd.choice(marks) for _ in range(rnd.randint(0, 4)))
+             for _ in range(4000)]
+    words += ["<|endoftext|>", "a<|startoftext|>.", "I'll", "x's", "2024", "a1.", "É́x", "ΑΣ.", "İ", "ªº", "\U0001f600.", "don't.", "l'été,", "ǆ"]
+    known = packing._learn({}, tok, list(dict.fromkeys(words)))
+    for w in words:
+        assert np.frombuffer(known[w], "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids, w
