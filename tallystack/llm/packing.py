@@ -14,6 +14,7 @@ sums, so a length shared by a third of all pieces is spread over all buckets.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -114,29 +115,35 @@ def _byte_letters() -> dict:
     return out
 
 
-def _learn(known: dict, tok, new, table=_byte_letters()):
-    """Ids (as bytes) of new words into ``known``. Plain words go to the
-    tokenizer's model as their pre-tokens, each distinct one once; all others
-    through the whole tokenizer."""
-    model, other = tok.model, []
+class WordIds(dict):
+    """Word -> its ids as little-endian bytes, encoded when first asked for.
+    Plain words go to the tokenizer's model as their pre-tokens, each distinct
+    one once; all others through the whole tokenizer."""
 
-    def ids(piece):
-        got = known.get(piece)
+    table = _byte_letters()
+
+    def __init__(self, tok):
+        self.whole, self.model = tok.encode, tok.model.tokenize
+
+    def piece(self, text):
+        got = self.get(text)
         if got is None:
-            raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(table)
-            got = known[piece] = np.array([k.id for k in model.tokenize(raw)], "<u4").tobytes()
+            raw = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self.table)
+            ids = [k.id for k in self.model(raw)]
+            got = self[text] = struct.pack(f"<{len(ids)}I", *ids)
         return got
-    for w in new:
+
+    def __missing__(self, w):
         m = PLAIN(w)
         if m is None:
-            other.append(w)
+            ids = self.whole(w, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
         else:
-            known[w] = ids(m[1].lower()) + (ids(m[2]) if m[2] else b"")
-    for i in range(0, len(other), 1000):
-        part = other[i:i + 1000]
-        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return known
+            out = self.piece(m[1].lower())
+            if m[2]:
+                out += self.piece(m[2])
+        self[w] = out
+        return out
 
 
 def _encode(path: str, end_id: int, size: int, limit: int = 1_000_000):
@@ -148,28 +155,21 @@ def _encode(path: str, end_id: int, size: int, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if _STATE.get("path") != path:
             from tokenizers import Tokenizer
-            _STATE.update(path=path, tok=Tokenizer.from_file(path), ids={})
-        tok, end = _STATE["tok"], np.array([end_id], "<u4").tobytes()
+            _STATE.update(path=path, ids=WordIds(Tokenizer.from_file(path)))
+        known, end = _STATE["ids"], np.array([end_id], "<u4").tobytes()
+        ids_of = known.__getitem__
         for pdf in frames:
             cols = [[] for _ in range(5)]
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for lo in range(0, len(texts), 500):
-                split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
-                         for t in texts[lo:lo + 500]]
-                words = set().union(*split)
-                if len(_STATE["ids"]) > limit:
-                    _STATE["ids"].clear()
-                known = _STATE["ids"]
-                new = [w for w in words if w not in known]
-                if new:
-                    _learn(known, tok, new)
-                for doc, ws in zip(ids[lo:lo + 500], split):
-                    raw = b"".join([known[w] for w in ws]) + end
-                    n = len(raw) // 4
-                    for p, start in enumerate(range(0, n, size)):
-                        part = raw[4 * start:4 * (start + size)]
-                        for c, v in zip(cols, (doc, p, start, len(part) // 4, zlib.crc32(part))):
-                            c.append(v)
+            for doc, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                if len(known) > limit:
+                    known.clear()
+                ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+                raw = b"".join(map(ids_of, ws)) + end
+                n = len(raw) // 4
+                for p, start in enumerate(range(0, n, size)):
+                    part = raw[4 * start:4 * (start + size)]
+                    for c, v in zip(cols, (doc, p, start, len(part) // 4, zlib.crc32(part))):
+                        c.append(v)
             yield pd.DataFrame({"doc_id": cols[0], "piece": np.array(cols[1], np.int32),
                                 "start": np.array(cols[2], np.int64), "length": np.array(cols[3], np.int64),
                                 "ids_crc32": np.array(cols[4], np.int64)})
