@@ -122,7 +122,7 @@ def _confirm(k: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    percent: int = 80, t: int = T, rows: int = ROWS, bands: int = BANDS, hubs: int = 64,
+                    percent: int = 80, t: int = T, rows: int = ROWS, bands: int = BANDS, hubs: int = 512,
                     max_broadcast: int = 2_000_000) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id, kept).
 
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(keys.join(full, "key").distinct(), "buckets")
     ids = written(members.select("id").distinct(), "ids")
     size = written(reps.join(small(ids), "id", "left_semi").dropDuplicates(["id"])
-                   .select("id", "n_shingles", "bits"), "sizes")
+                   .select("id", "n_shingles", "bits", "bands"), "sizes")
     members = written(members.join(size, "id"), "members")
     text = written(d.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
 
@@ -184,14 +184,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         if turn < 2:       # one hub per bucket: the least member, then another
             order = F.struct("id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-            hub = live.groupBy("key").agg(F.min_by(F.struct("id", "n_shingles", "bits", "comp"), order).alias("h")).select("key", "h.*")
+            hub = live.groupBy("key").agg(F.min_by(F.struct("id", "n_shingles", "bits", "bands", "comp"), order).alias("h")).select("key", "h.*")
         else:              # blocks of hubs, members of small components first; limited before the shuffle
             w = Window.partitionBy("key").orderBy("weight", F.xxhash64("id", F.lit(turn)), "id")
             hub = (live.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= hubs)
-                   .select("key", "id", "n_shingles", "bits", "comp"))
+                   .select("key", "id", "n_shingles", "bits", "bands", "comp"))
         hub = written(hub, "hubs")
-        pairs = (live.alias("x").join(hub.alias("h"), "key")
-                 .where((F.col("x.comp") != F.col("h.comp")) & plausible("x", "h"))
+        wanted = (F.col("x.comp") != F.col("h.comp")) & plausible("x", "h")
+        if turn >= 2:      # a pair belongs to the bucket of the first band that it shares
+            wanted &= F.expr("array_position(zip_with(x.bands, h.bands, (p, q) -> p = q), true) = array_position(x.bands, key)")
+        pairs = (live.alias("x").join(hub.alias("h"), "key").where(wanted)
                  .select(F.greatest("x.id", "h.id").alias("a"), F.least("x.id", "h.id").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -211,8 +213,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 fresh = up.toDF("id", "component").join(comp, "id", "left_anti")
                 comp = old.select("id", F.coalesce("new", "component").alias("component")).unionByName(fresh)
             comp = written(comp, "comp")
-        # a hub has met every other component of its bucket; buckets of one component are settled
-        rest = live.drop("comp", "weight").join(hub.select("key", "id"), ["key", "id"], "left_anti")
+        # a hub has met the other components in its bucket; buckets of one component are settled
+        rest = live.drop("comp", "weight")
+        if turn >= 2:
+            rest = rest.join(hub.select("key", "id"), ["key", "id"], "left_anti")
         if comp is None:
             rest = rest.withColumn("comp", F.col("id")).withColumn("weight", F.lit(1).cast("long"))
         else:
