@@ -31,7 +31,7 @@ from pyspark.sql import Window
 from tallystack.llm import arrays as A
 from tallystack.llm.common import connected_components, prepare, two_columns, written
 
-T, ROWS, BANDS = 256, 4, 32      # 32 bands of 4: a pair at similarity 0.8 is missed with probability 5e-8
+T, ROWS, BANDS = 512, 4, 32      # 32 bands of 4: a pair at similarity 0.8 is missed with probability 5e-8
 SIGMAS = 5.2                     # four bits of each coordinate: a pair at the limit fails the pre-check at this distance
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
