@@ -71,9 +71,8 @@ def described(c: DataFrame, dictionary_size: int) -> DataFrame:
     """``c`` with the features and ``words``, the share covered by the dictionary."""
     near = F.regexp_extract_all(F.lower("near"), F.lit("[a-z]{4,}"), 0)
     common = (c.select(F.explode_outer(near).alias("w")).where("w IS NOT NULL").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "w").limit(dictionary_size).agg(F.collect_set("w").alias("_dictionary")))
-    # one row of at most dictionary_size words
-    c = c.withColumn("_one", F.lit(1)).join(F.broadcast(common.withColumn("_one", F.lit(1))), "_one").drop("_one")
+              .orderBy(F.desc("n"), "w").limit(dictionary_size).collect())          # at most dictionary_size words
+    c = c.withColumn("_dictionary", F.lit([r["w"] for r in common]) if common else F.expr("CAST(array() AS array<string>)"))
     classes = ("translate(value, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', "
                f"'{'a' * 26}{'A' * 26}{'0' * 10}')")
     c = (c.withColumn("_c", F.expr(classes)).withColumn("_v", F.split("value", "")).withColumn("_low", F.lower("value")))
