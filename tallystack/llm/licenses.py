@@ -6,8 +6,9 @@ the least hash in every window of ``WINDOW`` hashes of ``GRAM`` consecutive word
 kept, so any shared run of WINDOW + GRAM - 1 words shares a fingerprint. The
 templates are a short given list; their index travels with the task's code.
 Documents are fingerprinted where they are read, hits vote for the diagonal on
-which a template would lie, and each cluster of hits is aligned globally
-against the template within a band around its diagonals (word edit distance with
+which a template would lie, and the text around each diagonal is aligned globally
+against the template within a band: the words that may be missing, or half the
+template for inserted runs, to both sides (word edit distance with
 free document ends). Nothing is shuffled.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallystack.llm.common import prepare
 
-GRAM, WINDOW, BAND = 3, 2, 8
+GRAM, WINDOW = 3, 2
 
 # fixed values: license notices and grants as their publishers word them
 TEMPLATES = {
@@ -121,6 +122,8 @@ def align(template, doc, band: int, first: int):
             if j < 0 or j > len(doc):
                 continue
             best, how = low, 0
+            if j == 0:                                # the template's head is left out before the text begins
+                best, how = -i, 2
             if j >= 1 and score[i - 1, b] > low:
                 best, how = score[i - 1, b] + (1 if template[i - 1] == doc[j - 1] else -1), 1
             if b + 1 < band and score[i - 1, b + 1] - 1 > best:
@@ -138,6 +141,8 @@ def align(template, doc, band: int, first: int):
             if template[i - 1] == doc[j - 1]:
                 hit.append(j - 1)
             i -= 1
+        elif how == 2 and j == 0:
+            break
         elif how == 2:
             i, b = i - 1, b + 1
         else:
@@ -145,7 +150,7 @@ def align(template, doc, band: int, first: int):
     return (len(hit), hit[-1], hit[0]) if hit else (0, -1, -1)
 
 
-def scan_text(text: str, index: Index, percent: int, band: int = BAND):
+def scan_text(text: str, index: Index, percent: int):
     """[(template, words, matched, start, end)] of a whole text."""
     ws, s, e = tokens(text)
     hits: dict = {}
@@ -153,18 +158,23 @@ def scan_text(text: str, index: Index, percent: int, band: int = BAND):
     for p in range(len(ws) - index.gram + 1):
         if inside[p] and inside[p + 1]:
             for name, q in index.at.get(tuple(ws[p:p + index.gram]), ()):
-                hits.setdefault(name, []).append(p - q)
+                hits.setdefault(name, []).append((p, p - q))
     out = []
-    for name, diagonals in hits.items():
-        t, done = index.words[name], -10**9
-        for d in sorted(set(diagonals)):
-            if d - done < band // 2:                  # inside the band of the one before
-                continue
-            done = d
-            lo = max(0, d - band)
-            part = ws[lo:d + len(t) + band]
-            n, a, z = align(t, part, band, d - lo - band // 2)
+    for name, at in hits.items():
+        t, seen = index.words[name], bytearray(len(ws))
+        # words that may be missing, or a run inserted before it outweighs the lesser half
+        wide = max(len(t) * (100 - percent) // 100, len(t) // 2) + 1
+        places: dict = {}
+        for p, d in at:
+            places.setdefault(d, []).append(p)
+        for d in sorted(places, key=lambda d: (-len(places[d]), d)):
+            if all(seen[p] for p in places[d]):
+                continue                              # explained by an alignment found before
+            lo = max(0, d - wide)
+            part = ws[lo:d + len(t) + wide]
+            n, a, z = align(t, part, 2 * wide + 1, d - wide - lo)
             if n and 100 * n >= percent * len(t):
+                seen[lo + a:lo + z + 1] = b"\x01" * (z - a + 1)
                 out.append((name, len(t), n, s[lo + a], e[lo + z]))
     # overlapping reports of one template: the one with most matches, then the first
     best = []

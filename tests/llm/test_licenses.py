@@ -74,3 +74,20 @@ def test_shared_runs_share_a_fingerprint():
         x = rnd.integers(0, 50, 40).astype(np.uint64)
         p = L.winnow(x, 4)
         assert all(any(i <= q < i + 4 for q in p) for i in range(len(x) - 3))
+
+
+def test_blocks_left_out_or_inserted_and_texts_cut_at_an_end():
+    index = L.Index(L.TEMPLATES)
+    fill = " ".join(f"f{i}" for i in range(40))
+    new = " ".join(f"g{i}" for i in range(10))
+    for name in ("mit_grant", "gpl_header", "isc_grant"):
+        w = L.TEMPLATES[name].split()
+        gone = min(10, len(L.tokens(L.TEMPLATES[name])[0]) // 5 - 1)
+        mid = len(w) // 2 - gone // 2
+        cases = [" ".join([fill, *w[:mid], *w[mid + gone:], fill]), " ".join([fill, *w[:mid], new, *w[mid:], fill]),
+                 " ".join(w[gone:]), " ".join([fill, *w[:-gone]]), " ".join([*w[gone:], fill]),
+                 " ".join([*w, *w[:mid], *w[mid + gone:], *w])]
+        for i, text in enumerate(cases):
+            found = [r for r in L.scan_text(text, index, 80) if r[0] == name]
+            assert len(found) == (3 if i == 5 else 1), (name, i, found)
+            assert all(100 * r[2] >= 80 * r[1] for r in found)
