@@ -70,3 +70,12 @@ def test_odd_rows_pass_every_stage(spark):
             d = written(stage(spark, d, SF), f"odd-{name}")
             assert d.columns == df.columns or name == "best_fit_packing"
         assert d.count() >= (2 if frame is df else 0)
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Repeated rows become one; a duplicate text does not take another text of its id along."""
+    text, other = (" ".join(f"{w}{i}" for i in range(40)) for w in ("word", "term"))
+    rows = [(1, text, "s")] * 3 + [(2, other, "s"), (2, text + " end", "s"), (3, other, "s"), (None, "no id " + text, "s"), (4, "alone " * 3, "a"), (4, "alone " * 3, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id or 0, r.text, r.source) for r in C.near_duplicates(spark, df, SF).collect()))
+    assert got == sorted([(1, text, "s"), (2, other, "s"), (0, "no id " + text, "s"), (4, "alone " * 3, "a")])
