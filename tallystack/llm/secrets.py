@@ -1,8 +1,8 @@
 """Secrets in documents: wide generators propose candidate values, a random
 forest removes the false positives. DataFrame functions and Spark ML only.
 
-Candidates are quoted values assigned to a name, and bare tokens of at least
-20 characters with a digit. The forest sees length, character classes and the
+Candidates are values assigned to a name, quoted or up to white space or a
+delimiter, and bare tokens of at least 20 characters with a digit. The forest sees length, character classes and the
 transitions between them, entropy, how much of the value a dictionary covers,
 the path, and the neighbouring words. The dictionary is counted over the words
 around all candidates of the corpus (the ``dictionary_size`` most frequent, a
@@ -10,7 +10,8 @@ bounded table).
 
 Labelled findings may be given (doc_id, s, e, label). Without them, clear
 cases label themselves: a random-looking value assigned to a credential name
-is a secret; a value that dictionary words cover, that a placeholder word
+is a secret, as is, named or not, one with the prefix that an issuer gives its keys or one
+of mixed characters with a high entropy; a value that dictionary words cover, that a placeholder word
 marks, or that has one kind of character only and no credential name, is not.
 The forest is fitted on at most ``max_rows`` of them (a documented bound,
 chosen by hash) and judges every candidate.
@@ -27,15 +28,23 @@ from pyspark.sql import functions as F
 from tallystack.llm.common import prepare, written
 from tallystack.llm.pii import found
 
-ASSIGNED = (r"(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]{1,40}[\"']?[\x20\x09]{0,3}(?:=>|:=|[:=])[\x20\x09]{0,3}"
-            r"(?:\"[^\"\s]{6,400}\"|'[^'\s]{6,400}')")
+_HEAD = r"(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]{1,40}[\"']?[\x20\x09]{0,3}(?:=>|:=|[:=])[\x20\x09]{0,3}"
+ASSIGNED = _HEAD + r"(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+')"
+#: without quotes: any value of a credential name, else one with a digit; no links
+_OPEN = r"[^\s\"'`,;(){}\[\]<>|&]"
+OPEN = (r"(?<![A-Za-z0-9_.-])(?:(?=[A-Za-z0-9_.-]{0,40}(?i:@NAMES@))[A-Za-z_][A-Za-z0-9_.-]{1,40}[\"']?[\x20\x09]{0,3}(?:=>|:=|[:=])[\x20\x09]{0,3}"
+        rf"(?!//){_OPEN}{{6,}}+|[A-Za-z_][A-Za-z0-9_.-]{{1,40}}[\"']?[\x20\x09]{{0,3}}(?:=>|:=|[:=])[\x20\x09]{{0,3}}(?!//)(?=[^\s0-9\"'`,;(){{}}\[\]<>|&]*+[0-9]){_OPEN}{{6,}}+)")
 BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 # fixed values: words of credential names, of placeholders, of test paths
 NAMES = "token|secret|passw|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|private"
+OPEN = OPEN.replace("@NAMES@", NAMES)
+#: prefixes that issuers give their keys, and tokens in three parts
+PREFIXES = ("^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|AIza|ya29[.]|npm_|pypi-|SG[.]|eyJ[A-Za-z0-9_-]+[.]eyJ)"
+            "[A-Za-z0-9._-]{12,}")
 PLACEHOLDERS = "example|sample|dummy|changeme|placeholder|your|xxxx|test|todo|redacted|123456"
 TEST_PATHS = "test|example|sample|mock|fixture|doc"
 FEATURES = ("length", "transitions", "lowers", "uppers", "digits", "others", "hex", "distinct", "entropy", "longest_word",
-            "coverage", "assigned", "named", "placeholder", "test_path", "names_near", "placeholders_near", "words_near")
+            "coverage", "assigned", "named", "prefixed", "placeholder", "test_path", "names_near", "placeholders_near", "words_near")
 
 
 def _q(pattern: str) -> str:
@@ -45,11 +54,15 @@ def _q(pattern: str) -> str:
 def candidates(df: DataFrame) -> DataFrame:
     """One row per candidate value of ``_t``: (_key, path, s, e, value, name,
     near). A value found both ways keeps its name."""
-    def spans(pattern, name, value):
-        return (f"transform({found('_t', pattern)}, x -> named_struct('e', x.e - {int(pattern == ASSIGNED)}, 'v', {value}, 'n', {name}, "
+    def spans(pattern, name, value, quote=0):
+        return (f"transform({found('_t', pattern)}, x -> named_struct('e', x.e - {quote}, 'v', {value}, 'n', {name}, "
                 f"'near', concat(substring(_t, greatest(x.s - 59, 1), least(x.s, 60)), ' ', substring(_t, x.e + 1, 40))))")
-    both = (f"concat({spans(ASSIGNED, _name(), _value())}, {spans(BARE, _null(), 'x.m')})")
-    c = df.select("_key", "path", F.explode_outer(F.expr(both)).alias("c")).select("_key", "path", "c.*").where("v IS NOT NULL")
+    c = df.select("_key", "path", "_t", F.expr(f"concat({spans(ASSIGNED, _name(), _value(_QUOTED), 1)}, "
+                                               f"{spans(OPEN, _name(), _value(_UNQUOTED))})").alias("_named"),
+                  F.expr(spans(BARE, _null(), "x.m")).alias("_bare"))
+    # a bare token that overlaps an assigned value is that find
+    both = "concat(_named, filter(_bare, b -> NOT exists(_named, y -> y.e - length(y.v) < b.e AND b.e - length(b.v) < y.e)))"
+    c = c.select("_key", "path", F.explode_outer(F.expr(both)).alias("c")).select("_key", "path", "c.*").where("v <> ''")
     return (c.withColumn("s", F.expr("e - length(v)")).groupBy("_key", "path", "s", "e")
             .agg(F.first("v").alias("value"), F.max("n").alias("name"), F.max("near").alias("near")))
 
@@ -58,9 +71,12 @@ def _name():
     return f"regexp_extract(x.m, {_q('^[A-Za-z0-9_.-]+')}, 0)"
 
 
-def _value():
-    v = r"""^[^"'=:]+["']?[\x20\x09]*(?:=>|:=|[:=])[\x20\x09]*["'](.*)["']$"""
-    return f"regexp_extract(x.m, {_q(v)}, 1)"
+_SIGN = r"""^[A-Za-z0-9_.-]+["']?[\x20\x09]*(?:=>|:=|[:=])[\x20\x09]*"""
+_QUOTED, _UNQUOTED = _SIGN + r"""["'](.*)["']$""", _SIGN + "(.*)$"
+
+
+def _value(pattern):
+    return f"regexp_extract(x.m, {_q(pattern)}, 1)"
 
 
 def _null():
@@ -86,7 +102,7 @@ def described(c: DataFrame, dictionary_size: int) -> DataFrame:
          "longest_word": "coalesce(array_max(transform(regexp_extract_all(value, '[A-Za-z]+', 0), p -> length(p))), 0)",
          "coverage": "aggregate(filter(_parts, p -> array_contains(_dictionary, p)), 0D, (a, p) -> a + length(p)) / length(value)",
          "assigned": "int(name IS NOT NULL)", "named": f"int(coalesce(rlike(name, {_q('(?i)' + NAMES)}), false))",
-         "placeholder": f"int(rlike(_low, '{PLACEHOLDERS}'))", "test_path": f"int(coalesce(rlike(lower(path), '{TEST_PATHS}'), false))",
+         "prefixed": f"int(rlike(value, {_q(PREFIXES)}))", "placeholder": f"int(rlike(_low, '{PLACEHOLDERS}'))", "test_path": f"int(coalesce(rlike(lower(path), '{TEST_PATHS}'), false))",
          "names_near": f"size(regexp_extract_all(near, {_q('(?i)' + NAMES)}, 0))",
          "placeholders_near": f"size(regexp_extract_all(lower(near), '{PLACEHOLDERS}', 0))",
          "words_near": "size(regexp_extract_all(near, '[A-Za-z]{2,}', 0))"}
@@ -94,7 +110,11 @@ def described(c: DataFrame, dictionary_size: int) -> DataFrame:
 
 
 WEAK = """CASE WHEN named = 1 AND placeholder = 0 AND coverage < 0.3 AND entropy >= 3 AND digits > 0 AND length >= 16 THEN 1D
- WHEN placeholder = 1 OR coverage >= 0.6 OR (named = 0 AND (digits = length OR digits = 0 OR distinct <= 6 OR longest_word >= 16)) THEN 0D END"""
+ WHEN placeholder = 0 AND placeholders_near = 0 AND coverage < 0.3 AND (prefixed = 1 OR
+  (lowers > 0 AND uppers > 0 AND digits > 1 AND entropy >= 4 AND transitions >= 0.4 * length AND length >= 20)) THEN 1D
+ WHEN named = 1 AND placeholder = 0 AND coverage < 0.3 AND longest_word < 12 AND digits > 0 AND lowers + uppers > 0 AND length >= 8 AND distinct > 5 THEN 1D
+ WHEN placeholder = 1 OR coverage >= 0.6 OR (named = 0 AND (digits = length OR digits = 0 OR distinct <= 6 OR longest_word >= 16
+  OR (hex = 0 AND uppers = 0 AND longest_word >= 5 AND digits <= 0.1 * length))) THEN 0D END"""
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source",
