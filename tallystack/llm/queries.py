@@ -153,3 +153,36 @@ def op1_suffix_array_dedup(spark, sf):
 def op4_suffix_tree_scores(spark, sf):
     from tallystack.llm.suffixtree import lm_scores
     return lm_scores(read_table(spark, sf, "documents"))
+
+
+# phrases by self-joined word positions; HUGEINT keeps the products exact
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT id, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+            FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+s AS (SELECT lang, a, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM c WHERE m > 2))),
+x AS (SELECT lang, phrase, max(a) AS longer FROM s GROUP BY ALL),
+k AS (SELECT c.lang, c.phrase, c.a, c.m, c.ws, unnest(range(1, m)) AS k
+      FROM c LEFT JOIN x ON c.lang = x.lang AND c.phrase = x.phrase WHERE longer IS NULL OR longer < c.a),
+t AS (SELECT k.lang, k.phrase, k.a, k, f1.c AS l, f2.c AS r, n.n,
+             CAST((1000::HUGEINT * k.a * n.n) // (f1.c::HUGEINT * f2.c) AS BIGINT) AS score
+      FROM k JOIN f f1 ON f1.lang = k.lang AND f1.phrase = array_to_string(list_slice(ws, 1, k), ' ')
+             JOIN f f2 ON f2.lang = k.lang AND f2.phrase = array_to_string(list_slice(ws, k + 1, k.m), ' ')
+             JOIN n ON n.lang = k.lang),
+b AS (SELECT lang, phrase, a, l, r, n, score FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13_phrase_collocations(spark, sf):
+    from tallystack.llm.phrases import collocations
+    return collocations(read_table(spark, sf, "documents"))
