@@ -199,3 +199,9 @@ def op11_periodic_runs(spark, sf):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_simhash_fingerprints")
+def op12_simhash_fingerprints(spark, sf):
+    from tallystack.llm.simhash import document_fingerprints
+    return document_fingerprints(read_table(spark, sf, "documents"))
