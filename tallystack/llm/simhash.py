@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystack.llm import arrays as A
-from tallystack.llm.common import prepare, written
+from tallystack.llm.common import prepare, tasks, written
 
 BITS = 256
 LANES = BITS // 64
-TERMS = 1 << 16                 # terms that vote at once
+TERMS = 1 << 10                 # terms that vote at once
 RADIUS, BLOCKS = 8, 13
 ROWS, QUERIES = 2048, 256       # fingerprints per block of a key
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
@@ -49,21 +49,22 @@ def fingerprints(texts) -> np.ndarray:
         inner = text[:-1] == text[1:]
         term = np.concatenate([h, pair[inner]])
         owner = np.concatenate([text, text[:-1][inner]])
-        order = np.lexsort((term, owner))
+        order = np.argsort(A.mix(term ^ A.mix(owner + 1)), kind="stable")     # equal terms of a text side by side
         term, owner = term[order], owner[order]
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])]))
-        times = np.diff(np.append(new, len(term)))
-        term, owner = term[new], owner[new]
-        weight = np.minimum(np.round(64 * (1 + np.log2(times))), 32767).astype(np.int16)
-        votes, total = np.zeros((j - i, BITS), np.int64), np.zeros(j - i, np.int64)
-        np.add.at(total, owner, weight)
-        for a in range(0, len(term), TERMS):
-            t, o, w = term[a:a + TERMS], owner[a:a + TERMS], weight[a:a + TERMS]
-            with np.errstate(over="ignore"):
-                lanes = np.stack([A.mix(t + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(LANES)], 1)
-            bits = np.unpackbits(lanes.view(np.uint8).reshape(len(t), BITS // 8), axis=1, bitorder="little")
-            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            votes[o[first]] += np.add.reduceat(bits * w[:, None], first, axis=0, dtype=np.int32)
+        weight = np.round(64 * (1 + np.log2(np.diff(np.append(new, len(term)))))).astype(np.float32)
+        order = np.argsort(owner[new], kind="stable")
+        term, owner, weight = term[new][order], owner[new][order], weight[order]
+        with np.errstate(over="ignore"):
+            lanes = np.stack([A.mix(term + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(LANES)], 1)
+        lanes = lanes.view(np.uint8).reshape(len(term), BITS // 8)
+        cut = np.searchsorted(owner, np.arange(j - i + 1))
+        votes = np.zeros((j - i, BITS))
+        for k in range(j - i):
+            for a in range(cut[k], cut[k + 1], TERMS):      # sums of whole numbers below 2**24: exact
+                z = min(a + TERMS, cut[k + 1])
+                votes[k] += weight[a:z] @ np.unpackbits(lanes[a:z], axis=1, bitorder="little").astype(np.float32)
+        total = np.bincount(owner, weight, j - i)
         out[i:j] = np.packbits(2 * votes > total[:, None], axis=1, bitorder="little").view(np.uint64)
     return out
 
@@ -194,14 +195,17 @@ def _count(radius, blocks):
             for t, asked, rows in zip(pdf["t"], pdf["asked"], pdf["rows"]):
                 q, x = _array(asked), _array([r["fp"] for r in rows])
                 n = np.array([r["n"] for r in rows], np.int64)
-                far = np.zeros((len(q), len(x)), np.int64)
+                far = np.zeros((len(q), len(x)), np.uint16)
                 for lane in range(LANES):
                     far += np.bitwise_count(q[:, lane, None] ^ x[None, :, lane])
                 a, b = np.nonzero(far <= radius)
-                same = block_values(q[a] ^ x[b], bounds) == 0
-                shared = np.stack([same[:, u] & same[:, v] for u, v in pairs], 1)
-                mine = shared.argmax(axis=1) == t           # the pair's first table
-                c = np.bincount(a[mine], n[b[mine]], len(q)).astype(np.int64)
+                vq, vx = block_values(q, bounds), block_values(x, bounds)
+                for u, v in pairs[:t]:                      # a pair counts in its first table only
+                    later = (vq[a, u] != vx[b, u]) | (vq[a, v] != vx[b, v])
+                    a, b = a[later], b[later]
+                    if not len(a):
+                        break
+                c = np.bincount(a, n[b], len(q)).astype(np.int64)
                 yield pd.DataFrame({"fp": [bytes(z) for z, k in zip(asked, c) if k], "near": c[c > 0]})
     return run
 
@@ -223,7 +227,8 @@ def near_counts(found: DataFrame, asked, radius: int = RADIUS, blocks: int = BLO
         return (df.join(much, ["t", "key"], "left").groupBy("t", "key", block.alias("block"))
                 .agg(F.collect_list(what).alias(name)).drop("block"))
     met = packed(ask, F.col("fp"), QUERIES, "asked").join(packed(rows, F.struct("fp", "n"), ROWS, "rows"), ["t", "key"])
-    return met.select("t", "asked", "rows").mapInPandas(_count(radius, blocks), "fp binary, near long").groupBy("fp").agg(F.sum("near").alias("near"))
+    met = met.select("t", "asked", "rows").repartition(4 * tasks(found.sparkSession))     # few bytes, much work each
+    return met.mapInPandas(_count(radius, blocks), "fp binary, near long").groupBy("fp").agg(F.sum("near").alias("near"))
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 20,
