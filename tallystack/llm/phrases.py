@@ -110,6 +110,14 @@ def _lang_key(lang: str):
     return A.mix(np.array([zlib.crc32(x) << 32 | zlib.adler32(x)], np.uint64))[0]
 
 
+def _sums(g, weight):
+    """Distinct hashes, the place of one of each, and the sums of their weights."""
+    order = np.argsort(g)
+    sorted_ = g[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first], order[first], np.add.reduceat(weight[order], first)
+
+
 def _known(bits, g):
     """Whether the bit of each hash is set."""
     at = (g & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
@@ -146,19 +154,21 @@ def _phrases(pdf, lengths, filters):
 
 
 def _count(lengths, filters):
-    """Partial counts (lang, n, hash) of the phrases whose parts pass the filters."""
+    """Partial counts (lang, n, hash) of the phrases whose parts pass the
+    filters; words come with their text."""
     def run(frames):
         tables = {n: np.frombuffer(b.value, np.uint8) for n, b in filters.items()}
         for pdf in frames:
-            for n, g, _at, weight, row, *_ in _phrases(pdf, lengths, tables):
-                lang, name = pd.factorize(pdf["lang"])
-                for k, x in enumerate(name):
-                    mine = lang[row] == k
-                    u, back = np.unique(g[mine], return_inverse=True)
-                    c = np.zeros(len(u), np.int64)
-                    np.add.at(c, back, weight[mine])
-                    if len(u):
-                        yield pd.DataFrame({"lang": x, "n": np.int32(n), "h": u.view(np.int64), "c": c})
+            names = pdf["lang"].to_numpy()
+            for n, g, at, weight, row, s, e, buf in _phrases(pdf, lengths, tables):
+                if not len(g):
+                    continue
+                u, one, c = _sums(g, weight)
+                out = pd.DataFrame({"lang": names[row[one]], "n": np.int32(n), "h": u.view(np.int64), "c": c})
+                if n == 1:
+                    data = buf.tobytes()
+                    out["phrase"] = [data[x:y].decode("utf-8") for x, y in zip(s[at[one]], e[at[one]])]
+                yield out
     return run
 
 
@@ -174,9 +184,7 @@ def _texts(lengths, filters):
                 if not len(g):
                     continue
                 data = buf.tobytes()
-                u, one, back = np.unique(g, return_index=True, return_inverse=True)
-                c = np.zeros(len(u), np.int64)
-                np.add.at(c, back, weight)
+                u, one, c = _sums(g, weight)
                 text = [b" ".join(data[s[i]:e[i]] for i in range(a, a + n)).decode("utf-8") for a in at[one]]
                 yield pd.DataFrame({"lang": names[row[one]], "n": np.int32(n), "phrase": text, "c": c})
     return run
@@ -218,18 +226,20 @@ def phrase_counts(docs: DataFrame, least: int = 100, spread: int = 64, max_bits:
     one to five words with ``least`` occurrences or more, and the number of
     words (lang, words) of rows (lang, text)."""
     parsed = written(dictionary(docs, spread), "chunks")
-    filters, words = {}, None
+    filters, words, one = {}, None, None
     for lengths in ((1,), (2,), (3,), (4, 5)):
-        n = parsed.mapInPandas(_count(lengths, filters), "lang string, n int, h long, c long")
-        n = written(n.groupBy("lang", "n", "h").agg(F.sum("c").alias("c")), "counts")
+        key = ["lang", "n", "h", "phrase"] if lengths == (1,) else ["lang", "n", "h"]
+        n = parsed.mapInPandas(_count(lengths, filters), "lang string, n int, h long, c long" + ", phrase string" * (lengths == (1,)))
+        n = written(n.groupBy(*key).agg(F.sum("c").alias("c")), "counts")
         if words is None:
+            one = n.where(F.col("c") >= least).select("lang", "n", "phrase", "c")
             words = written(n.groupBy("lang").agg(F.sum("c").alias("words")), "words")
         filters = dict(filters)
         for k in lengths:
             filters[k] = _bit_table(n.where((F.col("n") == k) & (F.col("c") >= least)).select("h"), max_bits)
-    exact = parsed.mapInPandas(_texts((1, 2, 3, 4, 5), filters), "lang string, n int, phrase string, c long")
+    exact = parsed.mapInPandas(_texts((2, 3, 4, 5), filters), "lang string, n int, phrase string, c long")
     exact = exact.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return written(exact, "phrases"), words
+    return written(exact.unionByName(one), "phrases"), words
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 100, top: int = 2000,
