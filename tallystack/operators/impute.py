@@ -5,9 +5,14 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
+import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallystack.functions.hashing import hash_uniform
 
@@ -16,39 +21,72 @@ def _replicate(df: DataFrame, m: int) -> DataFrame:
     return df.withColumn("imp", F.explode(F.sequence(F.lit(1), F.lit(m))))
 
 
-GRID = 1024
+MAX_LEVELS = 256
 
 
-def marginal_table(df: DataFrame, col: str) -> DataFrame:
-    """(cell, lo, hi, value): cumulative shares [lo, hi) of the observed
-    values of a column in ascending order, repeated for each of ``GRID`` equal
-    cells of [0, 1) that the range touches, so that a draw finds its value by
-    an equi-join on its cell. At most levels + GRID rows; no limit on levels."""
-    from tallystack.operators.ordered import ordered_prefix
+def _levels(df: DataFrame, col: str):
+    """(values, cumulative counts) of the observed values in ascending order,
+    or None when there are more than ``MAX_LEVELS`` of them."""
     freq = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    o = ordered_prefix(freq.withColumn("_one", F.lit(1)), "_one", "value", descending=False, sums={"_cum": F.col("n")},
-                       rank_col="_r", total_col=None)
-    last = F.col("_cum") == F.col("_cum_total")
-    lo, hi = (F.col("_cum") - F.col("n")) / F.col("_cum_total"), F.when(last, F.lit(2.0)).otherwise(F.col("_cum") / F.col("_cum_total"))
-    cell = F.explode(F.sequence(F.floor(lo * GRID).cast("int"), F.least(F.floor(hi * GRID).cast("int"), F.lit(GRID - 1))))
-    return o.select(cell.alias("cell"), lo.alias("lo"), hi.alias("hi"), "value")
+    rows = freq.orderBy("value").limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        return None
+    return [r["value"] for r in rows], list(itertools.accumulate(r["n"] for r in rows))
+
+
+def ranked_values(df: DataFrame, col: str, ties) -> DataFrame:
+    """(rank, value, n): the observed values by ascending rank from 1, each
+    rank once, and their number."""
+    from tallystack.operators.ordered import ordered_prefix
+    observed = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"), *ties)
+    return ordered_prefix(observed, "value", list(ties), descending=False, rank_col="rank", total_col="n").select("rank", "value", "n")
+
+
+def _bisect(at: str, upto, first: int = 0) -> str:
+    """Balanced CASE expression: the place of the first cumulative count above ``at``."""
+    if len(upto) == 1:
+        return str(first)
+    mid = len(upto) // 2
+    return f"CASE WHEN {at} < {upto[mid - 1]} THEN {_bisect(at, upto[:mid], first)} ELSE {_bisect(at, upto[mid:], first + mid)} END"
+
+
+def _literal_array(values, kind):
+    """The values as one literal; JSON where it keeps them exactly."""
+    if kind.typeName() in ("string", "integer", "long", "short", "byte"):
+        return F.from_json(F.lit(json.dumps(values)), T.ArrayType(kind))
+    return F.array(*[F.lit(v).cast(kind) for v in values])
 
 
 def impute_marginal(df: DataFrame, cols, key: str, m: int = 5, seed: int = 500,
                     replicate: bool = True) -> DataFrame:
-    """Targets without predictors: each missing cell is drawn from the
-    column's observed distribution (values in ascending order, u in [0, 1)
-    picks the first value whose cumulative share exceeds u). Observed cells
-    never change. Returns m copies (column ``imp``)."""
+    """Targets without predictors: each missing cell takes the observed value
+    of rank floor(u n) + 1 in ascending order, u uniform by hash of (seed,
+    copy, column, key). Observed cells never change. Returns m copies (column
+    ``imp``).
+
+    Up to ``MAX_LEVELS`` different values are searched by a decision tree over
+    their cumulative counts inside the projection; more are fetched by an equi-join
+    of the missing cells alone on the drawn rank, which one row holds. Both
+    give the same values. A column without any observed value stays null."""
     out = _replicate(df, m) if replicate else df
     for c in cols:
-        t = marginal_table(df, c)
-        names = out.columns
-        # only missing cells look for a draw; observed ones keep a null cell and match nothing
-        u = F.when(F.col(c).isNull(), hash_uniform(seed, F.col("imp"), F.lit(c), key))
-        out = out.withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * GRID).cast("int"))
-        out = out.join(t, (F.col("_cell") == F.col("cell")) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")), "left")
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col("value").cast(df.schema[c].dataType))).select(*names)
+        names, found = out.columns, _levels(df, c)
+        kind = df.schema[c].dataType
+        u = hash_uniform(seed, F.col("imp"), F.lit(c), key)
+        if found is not None:
+            values, upto = found
+            if not values:
+                continue
+            out = out.withColumn("_at", F.when(F.col(c).isNull(), F.floor(u * upto[-1])))
+            draw = _literal_array(values, kind)[F.expr(_bisect("_at", upto))]
+            out = out.withColumn(c, F.when(F.col(c).isNull(), draw).otherwise(F.col(c))).select(*names)
+            continue
+        table = ranked_values(df, c, [key])
+        n = table.agg(F.max("n")).first()[0]
+        missing = out.where(F.col(c).isNull())
+        drawn = missing.withColumn("_rank", F.floor(u * n) + 1).drop(c).join(
+            table.select(F.col("rank").alias("_rank"), F.col("value").cast(kind).alias(c)), "_rank")
+        out = out.where(F.col(c).isNotNull()).unionByName(drawn.select(*names))
     return out
 
 
@@ -92,15 +130,9 @@ def pmm_draw(scored: DataFrame, target: str, pred: str, missing: str, key: str,
     return scored.join(chosen, ["imp", key], "left")
 
 
-def _sweep(own: DataFrame, t: str, preds, cat_cols, missing: str, u, keep, numeric_method: str) -> DataFrame:
-    """One copy: the model of ``t`` fitted on the rows where it was observed,
-    and a draw ``_draw`` for every row (``_draw_mean`` for predictive mean
-    matching)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+def _encoded(own: DataFrame, preds, cat_cols):
+    """Feature stages of the predictors: one-hot for categories."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import LinearRegression
     stages, vcols = [], []
     for p in preds:
         if p in cat_cols:
@@ -109,31 +141,81 @@ def _sweep(own: DataFrame, t: str, preds, cat_cols, missing: str, u, keep, numer
             vcols.append(f"_{p}_v")
         else:
             vcols.append(p)
-    stages.append(VectorAssembler(inputCols=vcols, outputCol="_x", handleInvalid="keep"))
+    return [*stages, VectorAssembler(inputCols=vcols, outputCol="_x", handleInvalid="keep")]
+
+
+def _class_sweep(own: DataFrame, t: str, preds, cat_cols, missing: str, u, keep) -> DataFrame:
+    """One copy: multinomial logit of the category ``t`` fitted on the rows
+    where it was observed, and a draw ``_draw`` from its probabilities."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import vector_to_array
     observed = own.filter(~F.col(missing))
-    if t in cat_cols:
-        stages = [StringIndexer(inputCol=t, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")] + stages
-        stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1e-4, maxIter=50))
-        model = Pipeline(stages=stages).fit(observed)
-        labels = model.stages[0].labels
-        pr = vector_to_array(F.col("probability"))
-        # first class whose cumulative probability exceeds u
-        acc, choice = F.lit(0.0), None
-        for i, lab in enumerate(labels[:-1]):
-            acc = acc + pr[i]
-            choice = F.when(F.col("_u") < acc, F.lit(lab)) if choice is None else choice.when(F.col("_u") < acc, F.lit(lab))
-        choice = F.lit(labels[-1]) if choice is None else choice.otherwise(F.lit(labels[-1]))
-        return model.transform(own).withColumn("_u", u).withColumn("_draw", choice).select(*keep, "_draw")
-    stages.append(LinearRegression(featuresCol="_x", labelCol=t, regParam=1e-6))
+    stages = [StringIndexer(inputCol=t, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep"), *_encoded(own, preds, cat_cols),
+              LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1e-4, maxIter=50)]
     model = Pipeline(stages=stages).fit(observed)
-    scored = model.transform(own)
-    if numeric_method == "pmm":
-        return scored.select(*keep, F.col("prediction").alias("_draw_mean"))
-    # one of the observed residuals, all of them equally likely
-    table = marginal_table(model.transform(observed).select((F.col(t) - F.col("prediction")).alias("r")), "r")
-    scored = scored.withColumn("_u", u).withColumn("_cell", F.floor(F.col("_u") * GRID).cast("int"))
-    scored = scored.join(table, (F.col("_cell") == F.col("cell")) & (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi")), "left")
-    return scored.withColumn("_draw", F.col("prediction") + F.col("value")).select(*keep, "_draw")
+    labels = model.stages[0].labels
+    pr = vector_to_array(F.col("probability"))
+    # first class whose cumulative probability exceeds u
+    acc, choice = F.lit(0.0), None
+    for i, lab in enumerate(labels[:-1]):
+        acc = acc + pr[i]
+        choice = F.when(F.col("_u") < acc, F.lit(lab)) if choice is None else choice.when(F.col("_u") < acc, F.lit(lab))
+    choice = F.lit(labels[-1]) if choice is None else choice.otherwise(F.lit(labels[-1]))
+    return model.transform(own).withColumn("_u", u).withColumn("_draw", choice).select(*keep, "_draw")
+
+
+def _dot(x: str, beta: dict):
+    """Intercept plus inner product with the coefficients of the row's copy."""
+    out = None
+    for imp, b in sorted(beta.items()):
+        term = F.lit(float(b[0])) + F.aggregate(F.zip_with(F.col(x), F.array(*[F.lit(float(v)) for v in b[1:]]), lambda p, q: p * q),
+                                                F.lit(0.0), lambda s, v: s + v)
+        out = F.when(F.col("imp") == imp, term) if out is None else out.when(F.col("imp") == imp, term)
+    return out
+
+
+def _number_sweep(work: DataFrame, t: str, preds, cat_cols, missing: str, key: str, seed, sweep: int, keep,
+                  method: str, donors: int) -> DataFrame:
+    """All copies at once: per copy one linear model of ``t`` from the cross
+    products of its observed rows, its parameters drawn from their posterior.
+    ``residual``: drawn prediction plus the copy's observed residual of rank
+    floor(u n) + 1, an equi-join of the missing rows on (copy, rank);
+    ``normal``: plus a normal draw with the drawn deviation; ``pmm``: matching
+    on predictions (estimate for observed, drawn for missing rows)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from tallystack.operators.models.gram import gramian, posterior_draw
+    from tallystack.operators.ordered import grouped_prefix
+    model = Pipeline(stages=_encoded(work, preds, cat_cols)).fit(work)
+    x = model.transform(work).withColumn("_a", vector_to_array("_x")).select(*keep, "_a")
+    estimate, drawn, deviation = {}, {}, {}
+    for imp, g in gramian(x.filter(~F.col(missing)), "_a", [t], group="imp").items():
+        digest = hashlib.sha256(f"{seed}:{sweep}:{imp}:{t}".encode()).digest()
+        estimate[imp], drawn[imp], deviation[imp] = posterior_draw(g, np.random.default_rng(list(digest)))
+    if not estimate:
+        return work
+    kind = work.schema[t].dataType
+    lost = x.filter(F.col(missing)).withColumn("_draw", _dot("_a", drawn)).drop("_a")
+    seen = x.filter(~F.col(missing)).withColumn("_fit", _dot("_a", estimate)).drop("_a")
+    u = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key)
+    if method == "pmm":
+        scored = seen.withColumnRenamed("_fit", "_draw_mean").unionByName(lost.withColumnRenamed("_draw", "_draw_mean"))
+        from tallystack.session import checkpoint
+        lost = pmm_draw(checkpoint(scored), t, "_draw_mean", missing, key, f"{seed}:{sweep}", donors).filter(F.col(missing))
+    elif method == "normal":
+        v = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key, F.lit("v"))
+        z = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.lit(np.pi) * v)
+        lost = lost.withColumn("_draw", F.col("_draw") + z * F.element_at(F.create_map(*[F.lit(k) for kv in deviation.items() for k in kv]), F.col("imp").cast("long")))
+    else:
+        ranked = grouped_prefix(seen.select("imp", (F.col(t) - F.col("_fit")).alias("_r"), key), "imp", "_r", [key])
+        n = ranked.groupBy("imp").agg(F.max("rank").alias("_n"))          # one row per copy
+        lost = (lost.join(F.broadcast(n), "imp").withColumn("_rank", F.floor(u * F.col("_n")) + 1)
+                .join(ranked.select("imp", F.col("rank").alias("_rank"), "_r"), ["imp", "_rank"])
+                .withColumn("_draw", F.col("_draw") + F.col("_r")))
+    lost = lost.withColumn(t, F.col("_draw").cast(kind)).select(*keep)
+    return seen.select(*keep).unionByName(lost)
 
 
 def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: int = 5,
@@ -141,14 +223,18 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
                    numeric_method: str = "residual", donors: int = 5) -> DataFrame:
     """Chained equations. ``mask`` = {target: [predictors]}; columns with
     missing cells that are not a target with predictors get marginal draws
-    first. The m copies are chains of their own: each sweep refits every target per copy on its currently completed
-    predictors using rows where the target was observed, then redraws the
-    originally missing cells: categorical targets from the multinomial
-    logistic probabilities, numeric targets as linear prediction plus a
-    one of the observed residuals (``numeric_method='residual'``) or by
-    predictive mean matching (``'pmm'``: the observed value of one of the
-    ``donors`` rows with the closest predictions). Lineage is cut with reliable
-    checkpoints every ``checkpoint_every`` sweeps."""
+    first. The m copies are chains of their own: each sweep refits every
+    target per copy on its currently completed predictors, using rows where
+    the target was observed, then redraws the originally missing cells.
+
+    Categorical targets are drawn from multinomial logistic probabilities.
+    Numeric targets use a linear model whose coefficients and deviation are
+    drawn from their posterior, plus one of the observed residuals
+    (``numeric_method='residual'``) or a normal draw (``'normal'``), or take
+    the observed value of one of the ``donors`` rows with the closest
+    predictions (``'pmm'``). Work is linear in rows: residuals and values are
+    fetched by rank. Lineage is cut with reliable checkpoints every
+    ``checkpoint_every`` sweeps."""
     from tallystack.session import checkpoint
 
     categorical = set(categorical)
@@ -172,15 +258,16 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
     chained = any(p in targets for t in targets for p in mask[t])
     for sweep in range(1, max_iter + 1) if chained else [max_iter]:
         for t in targets:
-            u = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key)
             work = checkpoint(work)
-            keep, parts = list(work.columns), []
+            keep = list(work.columns)
+            if t not in cat_cols:
+                work = _number_sweep(work, t, mask[t], cat_cols, orig_missing[t], key, seed, sweep, keep, numeric_method, donors)
+                continue
+            u, parts = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key), []
             for k in range(1, m + 1):                  # each copy is a chain with models of its own
                 own = work.filter(F.col("imp") == k)
-                parts.append(_sweep(own, t, mask[t], cat_cols, orig_missing[t], u, keep, numeric_method))
+                parts.append(_class_sweep(own, t, mask[t], cat_cols, orig_missing[t], u, keep))
             scored = functools.reduce(lambda x, y: x.unionByName(y), parts)
-            if t not in cat_cols and numeric_method == "pmm":
-                scored = pmm_draw(checkpoint(scored), t, "_draw_mean", orig_missing[t], key, f"{seed}:{sweep}", donors)
             work = scored.withColumn(t, F.when(F.col(orig_missing[t]), F.col("_draw").cast(dict(df.dtypes)[t]))
                                      .otherwise(F.col(t))).select(*keep)
         if checkpoint_every and sweep % checkpoint_every == 0:

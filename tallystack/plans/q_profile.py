@@ -137,3 +137,49 @@ def impute_chained_pmm(spark, sf):
     p = pmiss(spark, sf, False).drop("p_name")
     return impute.impute_chained(p, {"p_size": ["p_type", "p_brand", "p_retailprice"]}, "p_partkey",
                                  m=5, max_iter=50, seed=500, numeric_method="pmm", donors=5)
+
+
+def _banded(spark, sf):
+    """part with a four-level price range, a seventh of it missing."""
+    k = F.col("p_partkey")
+    band = F.concat(F.lit("R"), F.least(F.floor(F.col("p_retailprice") / 300), F.lit(4)).cast("string"))
+    return T(spark, sf, "part").select("p_partkey", F.when(k % 7 == 0, None).otherwise(band).alias("price_range"),
+                                       F.when(k % 9 == 0, None).otherwise(F.col("p_size")).alias("p_size"), "p_brand")
+
+
+@query("impute_chained_category")
+def impute_chained_category(spark, sf):
+    """A categorical target explained by all others (the reference's only
+    explained target is a price range)."""
+    return impute.impute_chained(_banded(spark, sf), {"price_range": ["p_size", "p_brand"], "p_size": ["price_range"]},
+                                 "p_partkey", m=2, max_iter=2, seed=500, categorical=["price_range", "p_brand"])
+
+
+def _kept(done, before, cols):
+    """Per copy: rows, cells still missing, observed cells that changed, and
+    filled cells whose value was never observed."""
+    b = before.select("p_partkey", *[F.col(c).alias(f"_{c}") for c in cols])
+    j = done.join(b, "p_partkey")
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in cols:
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}_missing"),
+                 F.count_if(F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(F.col(c))).alias(f"{c}_changed"),
+                 F.count_if(F.col(f"_{c}").isNull() & F.col(c).isNotNull()).alias(f"{c}_filled")]
+    return j.groupBy("imp").agg(*aggs)
+
+
+@query("impute_chained_invariants", f"""WITH {PMISS_SQL}, c AS (SELECT unnest(range(1, 6))::INTEGER AS imp)
+SELECT imp, count(*) AS n, """ + ", ".join(f"""0::BIGINT AS {c}_missing, 0::BIGINT AS {c}_changed, count(*) - count({c}) AS {c}_filled"""
+                                           for c in ("p_size", "p_type", "p_brand", "p_retailprice")) + " FROM pm, c GROUP BY imp")
+def impute_chained_invariants(spark, sf):
+    """What chained imputation must keep: every row and observed cell, and no gap left."""
+    cols = ["p_size", "p_type", "p_brand", "p_retailprice"]
+    return _kept(impute_chained(spark, sf), pmiss(spark, sf, False), cols)
+
+
+@query("impute_category_invariants", """WITH c AS (SELECT unnest(range(1, 3))::INTEGER AS imp)
+SELECT imp, count(*) AS n, 0::BIGINT AS price_range_missing, 0::BIGINT AS price_range_changed,
+       count(*) FILTER (p_partkey % 7 = 0) AS price_range_filled, 0::BIGINT AS p_size_missing, 0::BIGINT AS p_size_changed,
+       count(*) FILTER (p_partkey % 9 = 0) AS p_size_filled FROM part, c GROUP BY imp""")
+def impute_category_invariants(spark, sf):
+    return _kept(impute_chained_category(spark, sf), _banded(spark, sf), ["price_range", "p_size"])
