@@ -4,6 +4,7 @@ approximated by random Fourier features, and the GLM coefficient table."""
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystack.operators.models import hist_trees
 from tallystack.operators.models.common import feature_stages, fit_score
 from tallystack.operators.prep import FeatureSpec
 
@@ -33,9 +35,26 @@ def model_mlp(spec, train, evaluate, id_col, hidden=(4, 2, 6), seed=1, **params)
     return fit_score(est, spec, train, evaluate, id_col, scale=True)
 
 
-def model_tree(spec, train, evaluate, id_col, max_depth=5, min_info_gain=0.0, seed=1, **params):
-    """Impurity splits with a depth limit (the reference's conditional
-    inference tree stops by a permutation-test criterion instead)."""
+def _as_arrays(spec, train, evaluate, id_col):
+    """Both tables as (id, label, x): features dummy coded on the training table."""
+    prep = Pipeline(stages=feature_stages(spec)).fit(train)
+
+    def of(d):
+        return prep.transform(d).select(id_col, F.col(spec.label).alias("label"), vector_to_array("features").alias("x"))
+    return of(train), of(evaluate), prep
+
+
+def model_tree(spec, train, evaluate, id_col, max_depth=5, mincriterion=0.873003, **params):
+    """Conditional inference tree: permutation tests choose the variable and
+    decide when to stop. Returns (scored, model, seconds)."""
+    t0 = time.perf_counter()
+    tr, ev, _prep = _as_arrays(spec, train, evaluate, id_col)
+    model = hist_trees.fit_inferred(tr, id_col, "label", "x", depth=max_depth, mincriterion=mincriterion, **params)
+    return hist_trees.score(model, ev, id_col, "label", "x"), model, time.perf_counter() - t0
+
+
+def model_tree_impurity(spec, train, evaluate, id_col, max_depth=5, min_info_gain=0.0, seed=1, **params):
+    """Impurity splits with a depth limit."""
     est = DecisionTreeClassifier(maxDepth=max_depth, minInfoGain=min_info_gain, seed=seed)
     return fit_score(est, spec, train, evaluate, id_col)
 
@@ -63,6 +82,17 @@ def boosting_estimator(rounds=73, depth=3, eta=0.243378, colsample=0.6703593, mi
 
 
 def model_boosting(spec, train, evaluate, id_col, seed=12345, **params):
+    """Second-order boosting with the reference's settings: gamma, hessian
+    child weight, column share per tree, row share per round."""
+    t0 = time.perf_counter()
+    tr, ev, _prep = _as_arrays(spec, train, evaluate, id_col)
+    model = hist_trees.fit_boosted(tr, id_col, "label", "x", seed=seed, **params)
+    return hist_trees.score(model, ev, id_col, "label", "x"), model, time.perf_counter() - t0
+
+
+def model_boosting_first_order(spec, train, evaluate, id_col, seed=12345, **params):
+    """Gradient boosting of ``pyspark.ml``; its model is what the tree table,
+    SHAP and model files read."""
     return fit_score(boosting_estimator(seed=seed, **params), spec, train, evaluate, id_col)
 
 
@@ -78,7 +108,6 @@ def model_svm_rbf(spec, train, evaluate, id_col, sigma=1.0, C=0.01347207, n_feat
     W ~ N(0, 2 sigma), b ~ U(0, 2 pi); a linear SVM with cost C on z, then a
     logistic (Platt) calibration of its margin on the training table.
     Inputs are min-max scaled. The draw of W, b is D x p numbers."""
-    import time
     t0 = time.perf_counter()
     from tallystack.session import ship_package
     ship_package(train.sparkSession)

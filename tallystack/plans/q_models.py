@@ -92,16 +92,37 @@ def model_tree(spark, sf):
     return _scored(ml.model_tree(SPEC, tr, ev, "id", max_depth=5))
 
 
+@query("inference_tree_table")
+def inference_tree_table(spark, sf):
+    """The conditional inference tree's nodes: tests, cuts, sizes and values."""
+    from tallystack.operators.models import hist_trees
+    tr, ev = split(spark, sf)
+    x, _ev, prep_ = ml._as_arrays(SPEC, tr, ev, "id")
+    m = hist_trees.fit_inferred(x, "id", "label", "x")
+    names = ml.feature_names(prep_.transform(tr.limit(1)), "features")
+    rows = [{**r, "n": m.tree.info[r["node"]].get("n"), "criterion": m.tree.info[r["node"]].get("criterion")}
+            for r in hist_trees.node_rows([m.tree], m.edges, names)]
+    return spark.createDataFrame(rows, """tree int, node int, feature string, threshold double, missing_left boolean, left int, right int,
+                                          value double, n long, criterion double""")
+
+
 @query("model_bagging")
 def model_bagging(spark, sf):
     tr, ev = split(spark, sf)
     return _scored(ml.model_bagging(SPEC, tr, ev, "id"))
 
 
+def second_order(spark, sf):
+    """Evaluation rows scored by the second-order boosted trees, fitted once."""
+    def build():
+        tr, ev = split(spark, sf)
+        return ml.model_boosting(SPEC, tr, ev, "id")[0]
+    return _memo("second order", spark, sf, build)
+
+
 @query("model_boosting")
 def model_boosting(spark, sf):
-    tr, ev = split(spark, sf)
-    return _scored(ml.model_boosting(SPEC, tr, ev, "id"))
+    return second_order(spark, sf).select("id", "label", r6("score").alias("score"))
 
 
 @query("model_rf")
@@ -226,7 +247,7 @@ def tuning_table(spark, sf):
 def boosted(spark, sf):
     def build():
         tr, ev = split(spark, sf)
-        scored, model, secs = ml.model_boosting(SPEC, tr, ev, "id")
+        scored, model, secs = ml.model_boosting_first_order(SPEC, tr, ev, "id")
         return tr, ev, scored, model
     return _memo("boosted", spark, sf, build)
 
