@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tallystack.operators import explain, features, prep
-from tallystack.operators.models import bayes, knn, ml, sentiment, tuning
+from tallystack.operators.models import bayes, families, knn, ml, sentiment, tuning
 from tallystack.operators.models.common import feature_stages
 from tallystack.operators.relate import join_on
 from tallystack.plans.q_relate import DAY_TABLE_MAX_ROWS, daily
@@ -201,7 +201,33 @@ def model_nb_gaussian(spark, sf):
     return s.select("vec_id", "label", r6("score").alias("score"))
 
 
-@query("model_nb_kernel")
+NB_KERNEL_SQL = f"""WITH {EMB_SQL},
+tr AS (SELECT y, j, CAST(x AS DOUBLE) AS x FROM (SELECT y, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM emb WHERE is_train)),
+rg AS (SELECT j, min(x) AS lo, max(x) AS hi, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 511 ELSE 1 END AS step FROM tr GROUP BY j),
+u AS (SELECT y, j, least(CAST(floor((x - lo) / step) AS INT), 510) AS i, (x - lo) / step AS u FROM tr JOIN rg USING (j)),
+w AS (SELECT y, j, b, sum(v) AS v FROM (SELECT y, j, i AS b, 1 - (u - i) AS v FROM u UNION ALL SELECT y, j, i + 1, u - i FROM u) GROUP BY y, j, b),
+cum AS (SELECT y, j, b, sum(v) OVER (PARTITION BY y, j ORDER BY b) AS s FROM w),
+st AS (SELECT y, j, count(*) AS n, stddev_samp(x) AS sd, avg(x) AS m FROM tr GROUP BY y, j),
+qt AS (SELECT y, j, min(CASE WHEN s >= 0.25 * n - 1e-6 THEN b END) AS q1, min(CASE WHEN s >= 0.75 * n - 1e-6 THEN b END) AS q3
+       FROM cum JOIN st USING (y, j) GROUP BY y, j),
+sp AS (SELECT y, j, n, lo, hi, step, least(sd, (q3 - q1) * step / 1.34) AS a, sd, m FROM st JOIN qt USING (y, j) JOIN rg USING (j)),
+h AS (SELECT y, j, n, lo, hi, step, 10.0 * 0.9 * power(n, -0.2) *
+        CASE WHEN a > 0 THEN a WHEN sd > 0 THEN sd WHEN abs(m) > 0 THEN abs(m) ELSE 1 END AS h FROM sp),
+d AS (SELECT h.y, h.j, t.t, sum(w.v * exp(-0.5 * power((h.lo - 3 * h.h + t.t * (h.hi - h.lo + 6 * h.h) / 511 - h.lo - w.b * h.step) / h.h, 2)))
+        / (any_value(h.n) * any_value(h.h) * sqrt(2 * pi())) AS f
+      FROM h JOIN w ON w.y = h.y AND w.j = h.j CROSS JOIN range(512) AS t(t) GROUP BY h.y, h.j, t.t),
+el AS (SELECT vec_id, j, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS j FROM emb WHERE NOT is_train)),
+pt AS (SELECT vec_id, h.y, h.j, least(greatest((x - h.lo + 3 * h.h) / ((h.hi - h.lo + 6 * h.h) / 511), 0), 511) AS t FROM el JOIN h ON h.j = el.j),
+ll AS (SELECT pt.vec_id, pt.y, sum(ln(CASE WHEN p > 0 THEN p ELSE 0.001 END)) AS l
+       FROM (SELECT pt.vec_id, pt.y, d0.f + (pt.t - d0.t) * (d1.f - d0.f) AS p FROM pt
+             JOIN d d0 ON d0.y = pt.y AND d0.j = pt.j AND d0.t = least(CAST(floor(pt.t) AS INT), 510)
+             JOIN d d1 ON d1.y = pt.y AND d1.j = pt.j AND d1.t = d0.t + 1) pt GROUP BY pt.vec_id, pt.y),
+pr AS (SELECT y, ln(count(*) / (SELECT count(*) FROM emb WHERE is_train)) AS lp FROM emb WHERE is_train GROUP BY y),
+s AS (SELECT vec_id, max(CASE WHEN ll.y = 1 THEN l + lp END) AS l1, max(CASE WHEN ll.y = 0 THEN l + lp END) AS l0 FROM ll JOIN pr ON pr.y = ll.y GROUP BY vec_id)
+SELECT e.vec_id, e.y AS label, round(1 / (1 + exp(s.l0 - s.l1)), 6) AS score FROM emb e JOIN s ON e.vec_id = s.vec_id WHERE NOT e.is_train"""
+
+
+@query("model_nb_kernel", NB_KERNEL_SQL)
 def model_nb_kernel(spark, sf):
     """adjust = 10 as tuned in the reference (laplace only acts on
     categorical inputs, of which there are none here)."""
@@ -242,6 +268,106 @@ def tuning_table(spark, sf):
     return table
 
 
+def fold_rows(spark, sf):
+    """Training rows of the model table for the family tuning, (id, label, x,
+    fold): dummy coded, scaled to [0, 1], ten hash folds, written once."""
+    from pyspark.ml import Pipeline
+    from tallystack.session import checkpoint
+
+    def build():
+        tr, _ = split(spark, sf)
+        made = Pipeline(stages=feature_stages(SPEC, scale=True)).fit(tr).transform(tr)
+        rows = made.select("id", F.col("ch_in").alias("label"), vector_to_array("features").alias("x"))
+        return checkpoint(tuning.hash_folds(rows, "id", 10, seed=1))
+    return _memo("folds", spark, sf, build)
+
+
+def fold_vectors(spark, sf):
+    """The embeddings' training rows as (id, label, x, fold), ten hash folds."""
+    tr, _ = emb(spark, sf)
+    rows = tr.select(F.col("vec_id").alias("id"), F.col("y").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return tuning.hash_folds(rows, "id", 10, seed=1)
+
+
+def _tuned(table):
+    return table.select("grid_point", "params", r6("metric").alias("metric"), r6("metric_sd").alias("metric_sd"), "rank")
+
+
+KNN_KS = families.FAMILIES["knn"].grid(None, 1)
+
+
+@query("tune_knn", f"""WITH {EMB_SQL},
+e AS (SELECT vec_id, embedding, y, CAST(floor(('0x' || substr(md5(concat_ws(':', '1', vec_id)), 1, 8))::BIGINT / 4294967296.0 * 10) AS INT) AS fold
+      FROM emb WHERE is_train),
+d AS (SELECT q.vec_id, q.fold, q.y, t.y AS ty, t.vec_id AS tid,
+        list_sum(list_transform(list_zip(q.embedding, t.embedding),
+                 lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS dist
+      FROM e q JOIN e t ON q.fold <> t.fold),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, tid) AS rk FROM d),
+g AS (SELECT * FROM (VALUES {", ".join(f"({i}, {g['k']})" for i, g in enumerate(KNN_KS))}) AS g(grid_point, k)),
+p AS (SELECT vec_id, fold, y, grid_point, k, CASE WHEN avg(ty) > 0.5 THEN 1 ELSE 0 END AS said
+      FROM r JOIN g ON rk <= k GROUP BY vec_id, fold, y, grid_point, k),
+n AS (SELECT grid_point, k, fold, count(*) FILTER (said = 0 AND y = 0) AS tp, count(*) FILTER (said <> y) AS wrong FROM p GROUP BY grid_point, k, fold),
+f AS (SELECT grid_point, k, avg(2 * tp / (2 * tp + wrong)) AS m, stddev_samp(2 * tp / (2 * tp + wrong)) AS sd
+      FROM n WHERE 2 * tp + wrong > 0 GROUP BY grid_point, k)
+SELECT grid_point, 'k=' || k AS params, round(m, 6) AS metric, round(sd, 6) AS metric_sd,
+  CAST(rank() OVER (ORDER BY round(m, 9) DESC) AS INT) AS rank FROM f""")
+def tune_knn(spark, sf):
+    """Ten values of k over ten folds, one neighbour search for all."""
+    return _tuned(families.tune(fold_vectors(spark, sf), families.FAMILIES["knn"], grid=KNN_KS))
+
+
+@query("tune_naive_bayes")
+def tune_naive_bayes(spark, sf):
+    """Three bandwidth factors x three smoothing counts, ten folds from the sums of one pass."""
+    return _tuned(families.tune(fold_rows(spark, sf), families.FAMILIES["naive_bayes"]))
+
+
+@query("tune_tree")
+def tune_tree(spark, sf):
+    """Five criteria x five depths: one inference tree per fold serves all."""
+    return _tuned(families.tune(fold_rows(spark, sf), families.FAMILIES["tree"]))
+
+
+def _three_folds(data):
+    """Pairs and triples of the ten folds, for families fitted again at every
+    point of the grid."""
+    return data.withColumn("fold", F.col("fold") % 3)
+
+
+@query("tune_boosting")
+def tune_boosting(spark, sf):
+    """Rounds 5, 10 and 20 x depths 2 and 3 over three folds, six boosted models grown together."""
+    grid = families.product(rounds=[5, 10, 20], depth=[2, 3])
+    return _tuned(families.tune(_three_folds(fold_rows(spark, sf)), families.FAMILIES["boosting"], folds=3, grid=grid))
+
+
+@query("tune_rf")
+def tune_rf(spark, sf):
+    """Five values of mtry over three folds."""
+    return _tuned(families.tune(_three_folds(fold_rows(spark, sf)), families.FAMILIES["rf"], folds=3))
+
+
+@query("tune_mlp")
+def tune_mlp(spark, sf):
+    """Two networks (the tuned 4-2-6 and a smaller one) over three folds."""
+    grid = [{"layer1": 4, "layer2": 2, "layer3": 6}, {"layer1": 2, "layer2": 2, "layer3": 2}]
+    return _tuned(families.tune(_three_folds(fold_rows(spark, sf)), families.FAMILIES["mlp"], folds=3, grid=grid))
+
+
+@query("tune_svm_rbf")
+def tune_svm_rbf(spark, sf):
+    """The automatic grid (width from pair distances, three costs) over three folds."""
+    return _tuned(families.tune(_three_folds(fold_rows(spark, sf)), families.FAMILIES["svm_rbf"], folds=3))
+
+
+@query("auto_grid")
+def auto_grid(spark, sf):
+    """The radial machine's automatic grid on the scaled training rows."""
+    rows = [(i, g["sigma"], g["C"]) for i, g in enumerate(families.radial_grid(fold_rows(spark, sf)))]
+    return spark.createDataFrame(rows, "grid_point int, sigma double, cost double")
+
+
 # ----------------------------------------------------------- explanation
 
 def boosted(spark, sf):
