@@ -71,3 +71,10 @@ def test_smote_and_sentiment(spark):
 def test_model_comparison_has_nine_families(spark):
     lb = Q["model_comparison"](spark, SF_SMALL).collect()
     assert len(lb) == 9 and max(r["tdl_rel"] for r in lb if r["tdl_rel"] is not None) == pytest.approx(1.0)
+
+
+def test_naive_bayes_tuning_and_radial_grid(spark):
+    t = Q["tune_naive_bayes"](spark, SF_SMALL).collect()
+    assert len(t) == 9 and min(r["rank"] for r in t) == 1 and all(r["metric"] is None or 0 <= r["metric"] <= 1 for r in t)
+    g = Q["auto_grid"](spark, SF_SMALL).collect()
+    assert [r["cost"] for r in g] == [0.25, 0.5, 1.0] and all(r["sigma"] > 0 for r in g)
