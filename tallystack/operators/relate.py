@@ -68,3 +68,15 @@ def assemble(dim: DataFrame, key: str, facts: DataFrame, day: str,
     for t in entity_left:
         out = join_on(out, t, [key], "left", broadcast_max_rows=broadcast_max_rows)
     return out
+
+
+def bind_cols(left: DataFrame, right: DataFrame, position: str = "position", suffixes=("_x", "_y")) -> DataFrame:
+    """Columns of two tables side by side, row for row by their ``position``
+    (see ``sources.io.with_file_position``), which must be 1..n in both: an
+    equi-join on a unique key, so no key is hot. Tables of different length
+    raise, as a positional bind must not drop or recycle rows. Column names
+    that clash take the suffixes."""
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"tables of {n} and {m} rows cannot be bound by position")
+    return join_on(left, right, [position], "inner", suffixes=suffixes)

@@ -28,17 +28,20 @@ ALCOHOL_SQL = ("CASE WHEN p_partkey % 5 = 0 THEN lower(p_type) "
                "WHEN p_partkey % 7 = 0 THEN lower(p_type) || 'x''' ELSE lower(p_type) END")
 
 
-@query("strip_first", f"SELECT p_partkey, {ALCOHOL_SQL} AS alcohol FROM part")
+NOISE_SQL = "CASE WHEN p_partkey % 13 = 0 THEN 'NULL' ELSE lower(p_brand) END"
+
+
+@query("strip_first", f"SELECT p_partkey, {ALCOHOL_SQL} AS alcohol, {NOISE_SQL} AS noise_level FROM part")
 def strip_first(spark, sf):
-    b = clean.strip_first(business(spark, sf), ["alcohol"])
-    return b.select("p_partkey", "alcohol")
+    b = clean.strip_first(business(spark, sf), ["alcohol", "noise_level"])
+    return b.select("p_partkey", "alcohol", "noise_level")
 
 
-@query("strip_all", f"SELECT p_partkey, {hours_text_sql(0)} AS mon_open_hours, "
-                    f"{hours_text_sql(6)} AS sun_open_hours FROM part")
+@query("strip_all", "SELECT p_partkey, " + ", ".join(
+    f"{hours_text_sql(d)} AS {day}_open_hours" for d, day in enumerate(DAYS)) + " FROM part")
 def strip_all(spark, sf):
-    b = clean.strip_all(business(spark, sf), ["mon_open_hours", "sun_open_hours"])
-    return b.select("p_partkey", "mon_open_hours", "sun_open_hours")
+    cols = [f"{day}_open_hours" for day in DAYS]
+    return clean.strip_all(business(spark, sf), cols).select("p_partkey", *cols)
 
 
 @query("open_hours", "SELECT p_partkey, " + ", ".join(
@@ -48,14 +51,12 @@ def open_hours(spark, sf):
     return b.select("p_partkey", *[r6(h).alias(h) for h in HOUR_COLS])
 
 
-@query("null_text_to_null", f"""SELECT p_partkey,
-  CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE 'u''' || lower(p_brand) || '''' END AS noise_level,
-  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE {hours_text_sql(0)} END AS mon_open_hours
-FROM part""")
+@query("null_text_to_null", f"SELECT p_partkey, {ALCOHOL_SQL} AS alcohol, nullif({NOISE_SQL}, 'NULL') AS noise_level, "
+       + ", ".join(f"nullif({hours_text_sql(d)}, 'NULL') AS {day}_open_hours" for d, day in enumerate(DAYS)) + " FROM part")
 def null_text_to_null(spark, sf):
-    b = clean.strip_all(business(spark, sf), ["mon_open_hours"])
-    b = clean.null_text_to_null(b)
-    return b.select("p_partkey", "noise_level", "mon_open_hours")
+    cols = [f"{day}_open_hours" for day in DAYS]
+    b = clean.strip_all(clean.strip_first(business(spark, sf), ["alcohol", "noise_level"]), cols)
+    return clean.null_text_to_null(b).select("p_partkey", "alcohol", "noise_level", *cols)
 
 
 @query("fill_const", "SELECT p_partkey, " + ", ".join(

@@ -153,16 +153,14 @@ FROM supplier s LEFT JOIN ps ON s.s_suppkey = ps.l_suppkey
 
 def star(spark, sf, parity=False):
     li = T(spark, sf, "lineitem")
-    ps = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("n_photo"))
-    st = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
-        r6(F.avg("l_quantity")).alias("avg_stars_us"), F.count(F.lit(1)).alias("n_reviews_us"))
-    au = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(r6(F.avg("l_discount")).alias("avg_n_fans_bus"))
+    per = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.count_distinct("l_partkey").alias("n_photo"), r6(F.avg("l_quantity")).alias("avg_stars_us"),
+        F.count(F.lit(1)).alias("n_reviews_us"), r6(F.avg("l_discount")).alias("avg_n_fans_bus"))
     fd = join_on(facts(spark, sf), daily(spark, sf), ["day"], "inner", broadcast_max_rows=DAY_TABLE_MAX_ROWS)
     fd = fd.withColumnRenamed("l_suppkey", "s_suppkey")
     ret = returns(spark, sf).withColumnRenamed("l_suppkey", "s_suppkey")
     dim = T(spark, sf, "supplier").select("s_suppkey", "s_name")
-    out = relate.assemble(dim, "s_suppkey", fd, "day", dim_left=[ps, st], daily_left=[ret],
-                          entity_left=[au], parity=parity)
+    out = relate.assemble(dim, "s_suppkey", fd, "day", dim_left=[per], daily_left=[ret], parity=parity)
     return out.select("s_suppkey", "s_name", "n_photo", "avg_stars_us", "n_reviews_us",
                       F.col("day").cast("string").alias("day"), "n", "reach", "hits", "n_orders", "temp_avg",
                       "n_returned", "qty_returned", "avg_n_fans_bus")

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -39,6 +40,28 @@ def with_row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFr
     return r.select(name, *df.columns)
 
 
+def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
+    """``df``, a scan straight from files (before any filter, join or
+    shuffle), with the 1..n position of each row: files in order of their path,
+    rows in their order inside the file.
+
+    A row's place inside its split is its distance from the split's first row;
+    the splits' row counts form a table of one row per split, whose prefix sums
+    in the order of (path, start of the split) give the offsets. Only that
+    table is ordered, the rows are neither sorted nor shuffled beyond the join
+    on the split. The result does not depend on how splits are packed into
+    tasks. An empty scan stays empty; a column called ``name`` is replaced.
+    Splits without rows need no rule."""
+    keep = [c for c in df.columns if c.lower() != name.lower()]
+    at = df.select(*keep, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+                   F.monotonically_increasing_id().alias("__row"))
+    splits = at.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)     # one row per split
+    splits = splits.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return (at.join(splits, ["__file", "__start"])
+              .select(*keep, (F.col("__offset") + F.col("__row") - F.col("__first") + 1).alias(name)))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                 partition_by=None, null_value: str = "NA", index_by: str | None = None,
                 index_name: str = "row_index") -> None:

@@ -1,7 +1,10 @@
 """CSV scan semantics and round trip."""
 
+import pytest
+
+from tallystack.operators import relate
 from tallystack.session import bounded_broadcast
-from tallystack.sources.io import read_table, write_table
+from tallystack.sources.io import read_table, with_file_position, write_table
 
 
 def test_csv_missing_markers(spark, tmp_path):
@@ -31,3 +34,37 @@ def test_bounded_broadcast_checks_size(spark):
     assert "BroadcastHashJoin" in buf.getvalue() or "BroadcastExchange" in buf.getvalue()
     # the unbounded side is returned unchanged (no hint) when above the bound
     assert bounded_broadcast(big, 100) is big
+
+
+def test_positions_follow_files_and_bind_row_for_row(spark, tmp_path):
+    """Two files against one, read in splits of a few rows, equal a positional bind."""
+    left, right = tmp_path / "left", tmp_path / "right"
+    left.mkdir()
+    right.mkdir()
+    ids = [f"k{(i * 37) % 500}" for i in range(500)]
+    (left / "a.csv").write_text("id\n" + "\n".join(ids[:180]) + "\n")
+    (left / "b.csv").write_text("id\n")
+    (left / "c.csv").write_text("id\n" + "\n".join(ids[180:]) + "\n")
+    (right / "x.csv").write_text("v,position\n" + "\n".join(f"{i if i % 7 else 'NA'},9" for i in range(500)) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        a = with_file_position(read_table(spark, str(left), "id string", "csv"))
+        b = with_file_position(read_table(spark, str(right), "v int, position int", "csv"))
+        assert b.columns == ["v", "position"]
+        got = relate.bind_cols(a, b).orderBy("position").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [(r["position"], r["id"], r["v"]) for r in got] == [(i + 1, ids[i], i if i % 7 else None) for i in range(500)]
+
+
+def test_bind_refuses_other_lengths_and_keeps_clashing_names(spark):
+    a = spark.createDataFrame([(1, "p"), (2, "q")], "position long, s string")
+    b = spark.createDataFrame([(2, "v"), (1, "u")], "position long, s string")
+    out = relate.bind_cols(a, b)
+    assert sorted((r["position"], r["s_x"], r["s_y"]) for r in out.collect()) == [(1, "p", "u"), (2, "q", "v")]
+    with pytest.raises(ValueError):
+        relate.bind_cols(a, b.limit(1))
+    assert relate.bind_cols(a.limit(0), b.limit(0)).count() == 0
