@@ -10,8 +10,9 @@ calibrated on held-out candidates selects the spans to add.
 
 Labels come from the corpus itself: what the checks confirm (Luhn sum, parts
 of at most 255, a complete domain, a plus sign) against look-alikes that the checks refuse.
-The trees are fitted on at most ``max_rows`` candidates (a documented bound,
-chosen by hash); generation, checks and scoring cover every text whole.
+The trees and the threshold come from all labelled candidates: equal feature
+rows are counted and take part with their number as weight. Generation, checks
+and scoring cover every text whole.
 
 Positions are code points. A text's matches come from one extraction and one
 split with the same expression, whose gaps give the positions; expressions use
@@ -182,28 +183,27 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     return c.select("_key", "kind", "s", "e", "label", "over", *[F.expr(f"double({x})").alias(n) for n, x in e.items()])
 
 
-def boosted_extra(cand: DataFrame, max_rows: int = 20_000, precision: float = 0.98, rounds: int = 12,
-                  depth: int = 4, seed: int = 7) -> DataFrame:
+def boosted_extra(cand: DataFrame, precision: float = 0.98, rounds: int = 12, depth: int = 4, seed: int = 7) -> DataFrame:
     """Candidates that the boosted trees add: (_key, kind, s, e). Trees are fitted on four
-    hash folds of at most ``max_rows`` labelled candidates; the threshold is
-    the least probability at which the fifth fold reaches ``precision``.
+    hash folds of all labelled candidates, equal ones as one row with their number as
+    weight; the threshold is the least probability at which the fifth fold reaches ``precision``.
     Candidates over a base span are never added again. With one label only,
     or no threshold that reaches the precision, nothing is added."""
     order = F.xxhash64("_key", "kind", "s", F.lit(seed))
-    sample = written(cand.withColumn("_fold", F.pmod(order, F.lit(5))).where("label IS NOT NULL")
-                     .orderBy(order, "_key", "kind", "s").limit(max_rows), "candidates")
-    labels = {(r["label"], r["_fold"] == 0) for r in sample.select("label", "_fold").distinct().collect()}
+    known = written(cand.where("label IS NOT NULL").withColumn("_held", F.pmod(order, F.lit(5)) == 0)
+                    .groupBy("label", "_held", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("_n")), "candidates")
+    labels = {(r["label"], r["_held"]) for r in known.select("label", "_held").distinct().collect()}
     none = cand.select("_key", "kind", "s", "e").limit(0)
     if not {(0, False), (1, False), (1, True)} <= labels:
         return none
     vec = VectorAssembler(inputCols=list(FEATURES), outputCol="_x", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.2)
-    model = gbt.fit(vec.transform(sample.where("_fold > 0")).select("_x", F.col("label").cast("double").alias("label")).coalesce(4))
+    gbt = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="_n", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.2)
+    model = gbt.fit(vec.transform(known.where("NOT _held")).select("_x", F.col("label").cast("double").alias("label"), "_n"))
 
     def score(df):
         return (model.transform(vec.transform(df.withColumnRenamed("label", "_label")))
                 .withColumn("p", F.round(vector_to_array("probability")[1], 3)))
-    held = score(sample.where("_fold = 0")).groupBy("p").agg(F.sum("_label").alias("good"), F.count(F.lit(1)).alias("n"))
+    held = score(known.where("_held")).groupBy("p").agg(F.sum(F.col("_label") * F.col("_n")).alias("good"), F.sum("_n").alias("n"))
     good = n = 0
     cut = None
     for r in sorted(held.collect(), key=lambda r: -r["p"]):     # at most 1001 rounded probabilities

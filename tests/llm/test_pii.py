@@ -117,3 +117,21 @@ def test_national_numbers_after_a_phone_word(spark):
     out = pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     share = [sum(any(x.kind == "phone" for x in r.pii.spans) for r in out if r.doc_id % 5 == j) / 240 for j in range(5)]
     assert share[0] == 1 and share[1] > 0.9 and share[2:] == [0, 0, 0]
+
+
+def test_trees_and_threshold_see_all_labelled_candidates(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    x = {n: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3)).cast("double") for i, n in enumerate(pii.FEATURES)}
+    cand = spark.range(30_000).select(F.col("id").cast("string").alias("_key"), F.lit("card").alias("kind"), F.lit(0).alias("s"), F.lit(9).alias("e"),
+                                      F.when(F.col("id") % 100 > 0, (F.col("id") % 2).cast("int")).alias("label"), F.lit(False).alias("over"),
+                                      *[c.alias(n) for n, c in x.items()])
+    seen = []
+
+    class Spy(pii.GBTClassifier):
+        def fit(self, df, *a):
+            seen.append(df.agg(F.sum("_n")).first()[0] if "_n" in df.columns else df.count())
+            return super().fit(df, *a)
+    monkeypatch.setattr(pii, "GBTClassifier", Spy)
+    pii.boosted_extra(cand, rounds=2).count()
+    fold = F.pmod(F.xxhash64("_key", "kind", "s", F.lit(7)), F.lit(5))
+    assert seen == [cand.where("label IS NOT NULL").where(fold > 0).count()]
