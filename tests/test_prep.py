@@ -52,3 +52,16 @@ def test_impute_marginal_single_level(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "k long, c string")
     out = impute.impute_marginal(df, ["c"], "k", m=2)
     assert {r["c"] for r in out.collect()} == {"a"} and out.count() == 6
+
+
+def test_cut_split_takes_the_same_rows_without_ordering(spark, monkeypatch):
+    ids = [(i, i % 7) for i in range(1000)] + [(i, 9) for i in range(0, 1000, 5)] + [(None, i) for i in range(40)]
+    df = spark.createDataFrame(ids, "id long, v int")
+    for frac in (0.0, 0.3, 0.75, 1.0):
+        for buckets in (4, 1 << 16):
+            want = prep.shuffle_split(df, "id", frac, 66).groupBy("id", "split").count()
+            got = prep.cut_split(df, "id", frac, 66, buckets=buckets).groupBy("id", "split").count()
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(prep, "ordered_prefix", None)       # no row is ordered but those of one bucket
+    one = prep.cut_split(df.where("v < 7 AND id IS NOT NULL"), "id", 0.75, 66)
+    assert one.where("split = 'train'").count() == 750
