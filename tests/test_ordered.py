@@ -48,3 +48,20 @@ def test_groups_with_one_value(spark):
         assert [r["id"] for r in mine] == (list(range(1000)) if g else list(range(999, -1, -1)))
     empty = spark.createDataFrame([], "g int, v double, id long, y int")
     assert grouped_prefix(empty, "g", "v", ["id"], sums={"c": F.col("y")}).count() == 0
+
+
+def test_tasks_of_the_segmented_sum_follow_the_rows(spark, monkeypatch):
+    """Twenty times the rows, twenty times the tasks: none sorts more."""
+    import datetime
+    from tallystack.operators import features
+    monkeypatch.setattr(features, "TASK_ROWS", 50)
+    day = datetime.date(2024, 1, 1)
+    rows = [(k, day + datetime.timedelta(i % 7), i, float(i % 5)) for k in range(4) for i in range(1000 if k == 0 else 40)]
+    df = spark.createDataFrame(rows, "k long, day date, i long, v double")
+    whole = features.rolling_rejoin(df, "k", "day", ["day", "i"], "v", 3, True, "s", segment_rows=20)
+    plain = features.rolling_rejoin(df, "k", "day", ["day", "i"], "v", 3, True, "s")
+    cols = ["k", "day", "i", "v", "s", "rejoin_copies", "s_min", "s_max"]
+    assert sorted(map(tuple, whole.select(cols).collect())) == sorted(map(tuple, plain.select(cols).collect()))
+    assert features.tasks_for(df) == 23
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 23), REPARTITION_BY_NUM") >= 3
