@@ -22,6 +22,8 @@ def _replicate(df: DataFrame, m: int) -> DataFrame:
 
 
 MAX_LEVELS = 256
+#: completed rows a task of the chained sweeps holds
+TASK_ROWS = 250_000
 
 
 def _levels(df: DataFrame, col: str):
@@ -105,6 +107,11 @@ def pmm_draw(scored: DataFrame, target: str, pred: str, missing: str, key: str,
     number of observed rows before it; a missing row's candidates are the
     ``donors`` observed ranks on either side, fetched with an equi-join on
     (imp, observed rank)."""
+    return scored.join(_pmm_chosen(scored, target, pred, missing, key, seed, donors), ["imp", key], "left")
+
+
+def _pmm_chosen(scored: DataFrame, target: str, pred: str, missing: str, key: str, seed, donors: int):
+    """(imp, key, _draw) of the missing cells of ``pmm_draw``."""
     from pyspark.sql import Window
     from tallystack.operators.ordered import ordered_prefix
     obs = ~F.col(missing)
@@ -125,9 +132,8 @@ def pmm_draw(scored: DataFrame, target: str, pred: str, missing: str, key: str,
     c = c.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= donors)
     pick = (F.floor(hash_uniform(seed, F.col("imp"), F.lit(target), key) *
                     F.least(F.lit(donors), F.count(F.lit(1)).over(Window.partitionBy("imp", key)))) + 1)
-    chosen = c.withColumn("_pick", pick).filter(F.col("_k") == F.col("_pick")) \
-              .select("imp", key, F.col("_dval").alias("_draw"))
-    return scored.join(chosen, ["imp", key], "left")
+    return c.withColumn("_pick", pick).filter(F.col("_k") == F.col("_pick")) \
+            .select("imp", key, F.col("_dval").alias("_draw"))
 
 
 def _encoded(own: DataFrame, preds, cat_cols):
@@ -176,7 +182,7 @@ def _dot(x: str, beta: dict):
     return out
 
 
-def _number_sweep(work: DataFrame, t: str, preds, cat_cols, missing: str, key: str, seed, sweep: int, keep,
+def _number_sweep(work: DataFrame, t: str, encoder, missing: str, key: str, seed, sweep: int, keep,
                   method: str, donors: int) -> DataFrame:
     """All copies at once: per copy one linear model of ``t`` from the cross
     products of its observed rows, its parameters drawn from their posterior.
@@ -184,12 +190,10 @@ def _number_sweep(work: DataFrame, t: str, preds, cat_cols, missing: str, key: s
     floor(u n) + 1, an equi-join of the missing rows on (copy, rank);
     ``normal``: plus a normal draw with the drawn deviation; ``pmm``: matching
     on predictions (estimate for observed, drawn for missing rows)."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     from tallystack.operators.models.gram import gramian, posterior_draw
     from tallystack.operators.ordered import grouped_prefix
-    model = Pipeline(stages=_encoded(work, preds, cat_cols)).fit(work)
-    x = model.transform(work).withColumn("_a", vector_to_array("_x")).select(*keep, "_a")
+    x = encoder.transform(work).withColumn("_a", vector_to_array("_x")).select(*keep, "_a")
     estimate, drawn, deviation = {}, {}, {}
     for imp, g in gramian(x.filter(~F.col(missing)), "_a", [t], group="imp").items():
         digest = hashlib.sha256(f"{seed}:{sweep}:{imp}:{t}".encode()).digest()
@@ -202,15 +206,16 @@ def _number_sweep(work: DataFrame, t: str, preds, cat_cols, missing: str, key: s
     u = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key)
     if method == "pmm":
         scored = seen.withColumnRenamed("_fit", "_draw_mean").unionByName(lost.withColumnRenamed("_draw", "_draw_mean"))
-        from tallystack.session import checkpoint
-        lost = pmm_draw(checkpoint(scored), t, "_draw_mean", missing, key, f"{seed}:{sweep}", donors).filter(F.col(missing))
+        from tallystack.session import stored
+        narrow = stored(scored.select("imp", key, t, "_draw_mean", missing), "pmm")        # the search needs no other column
+        lost = lost.drop("_draw").join(_pmm_chosen(narrow, t, "_draw_mean", missing, key, f"{seed}:{sweep}", donors), ["imp", key], "left")
     elif method == "normal":
         v = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key, F.lit("v"))
         z = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.lit(np.pi) * v)
         lost = lost.withColumn("_draw", F.col("_draw") + z * F.element_at(F.create_map(*[F.lit(k) for kv in deviation.items() for k in kv]), F.col("imp").cast("long")))
     else:
         ranked = grouped_prefix(seen.select("imp", (F.col(t) - F.col("_fit")).alias("_r"), key), "imp", "_r", [key])
-        n = ranked.groupBy("imp").agg(F.max("rank").alias("_n"))          # one row per copy
+        n = seen.groupBy("imp").agg(F.count(F.lit(1)).alias("_n"))          # one row per copy, without the order
         lost = (lost.join(F.broadcast(n), "imp").withColumn("_rank", F.floor(u * F.col("_n")) + 1)
                 .join(ranked.select("imp", F.col("rank").alias("_rank"), "_r"), ["imp", "_rank"])
                 .withColumn("_draw", F.col("_draw") + F.col("_r")))
@@ -233,8 +238,10 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
     (``numeric_method='residual'``) or a normal draw (``'normal'``), or take
     the observed value of one of the ``donors`` rows with the closest
     predictions (``'pmm'``). Work is linear in rows: residuals and values are
-    fetched by rank. Lineage is cut with reliable checkpoints every
-    ``checkpoint_every`` sweeps."""
+    fetched by rank. Lineage is cut with reliable checkpoints before every
+    target and every ``checkpoint_every`` sweeps; the last draw is left to the
+    reader of the result (who reads it more than once stores it)."""
+    from pyspark.ml import Pipeline
     from tallystack.session import checkpoint
 
     categorical = set(categorical)
@@ -251,17 +258,22 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
     work = df.withColumns({v: F.col(t).isNull() for t, v in orig_missing.items()})
     # start: every column completed by draws from its observed values
     cat_cols = [c for c in cols_with_na if c in categorical or dict(df.dtypes)[c] == "string"]
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols_with_na]).first() if cols_with_na else {}
+    counts = df.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols_with_na]).first()
+    tasks = -(-counts[0] * m // TASK_ROWS)
+    if tasks > 1:                  # a small compressed file is read by few tasks: the copies are made by as many as they need
+        work = work.repartition(tasks)
     work = impute_marginal(work, [c for c in cols_with_na if counts[c]], key, m, seed)
     # when no target explains another, the predictors never change again: every sweep
     # draws from the same models, and the last one is the result of all
     chained = any(p in targets for t in targets for p in mask[t])
+    # the levels of a completed column are its observed ones: encoders are fitted once, on the table itself
+    encoders = {t: Pipeline(stages=_encoded(df, mask[t], cat_cols)).fit(df) for t in targets if t not in cat_cols}
     for sweep in range(1, max_iter + 1) if chained else [max_iter]:
         for t in targets:
             work = checkpoint(work)
             keep = list(work.columns)
             if t not in cat_cols:
-                work = _number_sweep(work, t, mask[t], cat_cols, orig_missing[t], key, seed, sweep, keep, numeric_method, donors)
+                work = _number_sweep(work, t, encoders[t], orig_missing[t], key, seed, sweep, keep, numeric_method, donors)
                 continue
             u, parts = hash_uniform(seed, F.col("imp"), F.lit(sweep), F.lit(t), key), []
             for k in range(1, m + 1):                  # each copy is a chain with models of its own
@@ -270,6 +282,6 @@ def impute_chained(df: DataFrame, mask: dict, key: str, m: int = 5, max_iter: in
             scored = functools.reduce(lambda x, y: x.unionByName(y), parts)
             work = scored.withColumn(t, F.when(F.col(orig_missing[t]), F.col("_draw").cast(dict(df.dtypes)[t]))
                                      .otherwise(F.col(t))).select(*keep)
-        if checkpoint_every and sweep % checkpoint_every == 0:
+        if checkpoint_every and sweep % checkpoint_every == 0 and sweep < max_iter:
             work = checkpoint(work)
     return work.drop(*orig_missing.values())

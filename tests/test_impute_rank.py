@@ -91,3 +91,27 @@ def test_chained_numbers_recover_the_relation(spark, method):
     assert all(by[i, k] == a for i in (1, 2) for k, a, _x, _c in rows if a is not None)
     assert abs(np.mean(gap)) < 0.1 and 0.1 < np.std(gap) < 0.4
     assert any(by[1, k] != by[2, k] for k, a, *_ in rows if a is None)
+
+
+@pytest.mark.parametrize("method", ["residual", "pmm"])
+def test_chained_tasks_follow_the_rows(spark, monkeypatch, method):
+    """Copies are made by as many tasks as their rows need, with the same
+    result; matching stores the columns it needs; the last draw is not written."""
+    import tallystack.session as session
+    rnd = random.Random(8)
+    rows = [(i, None if i % 7 == 0 else rnd.randrange(50), rnd.choice("xyz"), rnd.random(), "unused") for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, a int, c string, x double, note string").coalesce(1)
+    parts, columns = [], []
+    cut, keep = session.checkpoint, session.stored
+    monkeypatch.setattr(session, "checkpoint", lambda d: parts.append(d.rdd.getNumPartitions()) or cut(d))
+    monkeypatch.setattr(session, "stored", lambda d, name: columns.append(d.columns) or keep(d, name))
+
+    def run():
+        return sorted(map(tuple, impute.impute_chained(df, {"a": ["x", "c"]}, "k", m=2, max_iter=3, seed=5, numeric_method=method).collect()))
+    want = run()
+    monkeypatch.setattr(impute, "TASK_ROWS", 200)
+    parts.clear()
+    assert run() == want
+    assert parts == [6]                                       # 1200 completed rows; one lineage cut before the only sweep
+    assert all(r[1] is not None for r in want) and len(want) == 1200
+    assert all("note" not in c for c in columns) and bool(columns) == (method == "pmm")
