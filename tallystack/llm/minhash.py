@@ -49,16 +49,13 @@ def sketch(g, d, n_docs: int, t: int = T):
             if not len(active):
                 break
             x = A.mix(g[active] + np.uint64(i + 1) * _STEP)
-            low = (np.uint64(i) << np.uint64(48)) | (x >> np.uint64(16))
             if i < t:
                 cell = base[active] + (A.mix(x) % np.uint64(t)).astype(np.int64)
             else:
                 cell = base[active] + (i - t)
-            order = np.lexsort((low, cell))
-            cell, low = cell[order], low[order]
-            first = np.ones(len(cell), bool)
-            first[1:] = cell[1:] != cell[:-1]
-            flat[cell[first]] = np.minimum(flat[cell[first]], low[first])
+            # values grow with the rounds: a cell that an earlier one filled keeps its value
+            free = np.flatnonzero(flat[cell] == empty)
+            np.minimum.at(flat, cell[free], (np.uint64(i) << np.uint64(48)) | (x[free] >> np.uint64(16)))
             if i < t and (i == 0 or i % 4 == 3) or i >= t:
                 open_ = (out == empty).any(axis=1)
                 active = active[open_[d[active]]]

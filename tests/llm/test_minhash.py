@@ -72,3 +72,24 @@ def test_words_and_shingles_match_the_definition():
     assert [int((doc == i).sum()) for i in range(len(texts))] == [len(brute.words(t)) for t in texts]
     g, d = arrays.shingles(h, doc, len(texts), 4)
     assert np.bincount(d, minlength=len(texts)).tolist() == [len(brute.shingles(t, 4)) for t in texts]
+
+
+def test_sketch_fills_cells_without_sorting(monkeypatch):
+    """Every coordinate is the least value that any round throws into it; no round sorts its throws."""
+    t, rnd = 16, np.random.default_rng(4)
+    sizes = [0, 1, 3, 40, 400]
+    d = np.repeat(np.arange(len(sizes)), sizes)
+    g = rnd.integers(0, 2**63, len(d)).astype(np.uint64)
+    want = np.full((len(sizes), t), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(2 * t):
+            x = arrays.mix(g + np.uint64(i + 1) * minhash._STEP)
+            low = (np.uint64(i) << np.uint64(48)) | (x >> np.uint64(16))
+            at = (arrays.mix(x) % np.uint64(t)).astype(int) if i < t else np.full(len(g), i - t)
+            for doc, cell, v in zip(d, at, low):
+                want[doc, cell] = min(want[doc, cell], v)
+
+    def never(*_a, **_k):
+        raise AssertionError("sorted")
+    monkeypatch.setattr(np, "lexsort", never)
+    assert (minhash.sketch(g, d, len(sizes), t) == want).all()
