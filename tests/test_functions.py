@@ -69,6 +69,19 @@ def test_rolling_rejoin_counts_reference_rows(spark):
     assert out.count() == 3
 
 
+def test_rejoin_emits_every_pair_of_a_day(spark):
+    d1, d2 = dt.date(2017, 1, 1), dt.date(2017, 1, 2)
+    rows = [(1, 0, d1, 1), (1, 1, d1, 2), (1, 2, d2, 3), (1, 3, None, 4), (1, 4, None, 5), (None, 5, d1, 6), (None, 6, d1, 7)]
+    df = spark.createDataFrame(rows, "k int, i int, d date, v int")
+    # the fixture's two keys: 2*2 + 1 rows from 3, here with the pairs of a missing day and a missing key
+    own = {0: 1, 1: 3, 2: 6, 3: 10, 4: 15, 5: 6, 6: 13}
+    days = [(0, 1), (2,), (3, 4), (5, 6)]
+    want = sorted((a, own[b], len(g), min(own[x] for x in g), max(own[x] for x in g)) for g in days for a in g for b in g)
+    out = features.rolling_rejoin_rows(df, "k", "d", ["d", "i"], "v", name="r", segment_rows=20)
+    assert len(want) == 13
+    assert sorted(tuple(x) for x in out.select("i", "r", "rejoin_copies", "r_min", "r_max").collect()) == want
+
+
 def test_tie_rounding_half_even(spark):
     df = clean.round_even(one_col(spark, [0.125, 0.375], "double"), ["v"], 2)
     assert collect(df, "v") == [0.12, 0.38]
