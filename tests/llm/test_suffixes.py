@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from tallystack.llm import arrays, suffixes
+from tallystack.llm.common import bitmap, maybe
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,3 +91,25 @@ def test_common_prefixes_equal_direct_comparison():
                         for k in range(len(data)))
             assert h[s] == other
     assert arrays.BLOCK
+
+
+def test_lists_are_not_broadcast_to_documents(spark):
+    """A list per document has no bound: the join shuffles, and only documents that may have one."""
+    docs = spark.createDataFrame([(i, bytes([i]), f"text {i}") for i in range(40)], "doc_id long, rk binary, text string")
+    lists = spark.createDataFrame([(bytes([i]), [i] * 500) for i in range(3)], "rk binary, spans array<long>")
+    joined, held = suffixes._by_rk(docs, lists)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() < 10 and len(held.value)
+    assert sorted(r.doc_id for r in joined.where("spans IS NOT NULL").collect()) == [0, 1, 2]
+
+
+def test_bitmap_comes_in_packed_rows(spark):
+    keys = spark.range(300_000).selectExpr("xxhash64(id) AS key")
+    bits = bitmap(keys, 300_000)
+    held = keys.toPandas()["key"].to_numpy().view(np.uint64)
+    want = np.zeros(len(bits) * 64, bool)
+    want[held & np.uint64(len(want) - 1)] = True
+    assert (np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool) == want).all()
+    assert maybe(bits, held).all() and not maybe(bits, ~held).all()
+    one = bitmap(spark.createDataFrame([(7,)], "key long"), 1)
+    assert maybe(one, np.array([7, 8], np.uint64)).tolist() == [True, False]
